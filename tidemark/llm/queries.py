@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mix, simhash, toxicity
+from . import exact, mix, pack, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,16 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") > 0, 2.0).otherwise(0.5).alias("weight"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(_table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir)).drop("text_hash")
 
@@ -42,6 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bm25_packing": op1_bm25_packing,
     "op2_mix_sources": op2_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_toxicity": op8_toxicity,
