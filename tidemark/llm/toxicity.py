@@ -10,12 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: Labelled documents of each class read to fit, at most: those with the smallest hashes.
 SAMPLE = 4000
 #: Character n-grams within a word, which has a mark at both ends.
 ORDERS = (3, 4, 5)
 #: N-grams that the linear model weighs: those whose log-count ratios stand out most from chance.
-FEATURES = 4000
+FEATURES = 2000
+#: Tasks that read the sample.
+PARTS = 24
 #: Distinct words remembered for reuse by one task.
 MEMORY = 300_000
 
@@ -50,46 +54,64 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[g] for g in seen), -50, 50))))
 
 
-def fit(rows: pd.DataFrame) -> Model:
-    """Fit on a bounded table (text, label): log-count ratios of n-gram presence, then logistic regression on them.
+def _presence(rows: DataFrame, wanted: list[str] | None) -> DataFrame:
+    """Counts of documents (gram, n0, n1) by label; or (label, have) with the positions of each document's wanted n-grams."""
+    place = None if wanted is None else {g: k for k, g in enumerate(wanted)}
 
-    Without rows of both classes the score is the constant share of label 1 (one half without any).
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory: dict[str, list] = {}
+        count: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for part in parts:
+            out = []
+            for text, label in zip(part["text"], part["label"], strict=True):
+                seen: set = set()
+                for word in words(text):
+                    have = memory.get(word)
+                    if have is None:
+                        have = memory[word] = [g for g in grams(word)] if place is None else [place[g] for g in grams(word) if g in place]
+                    seen.update(have)
+                if len(memory) > MEMORY:
+                    memory.clear()
+                if place is None:
+                    into = count[label]
+                    for g in seen:
+                        into[g] = into.get(g, 0) + 1
+                else:
+                    out.append((label, sorted(seen)))
+            if place is not None:
+                yield pd.DataFrame(out, columns=["label", "have"])
+        if place is None:
+            some = list(count[0].keys() | count[1].keys())
+            yield pd.DataFrame({"gram": some, "n0": [count[0].get(g, 0) for g in some], "n1": [count[1].get(g, 0) for g in some]})
+
+    return rows.select("text", "label").mapInPandas(run, "gram string, n0 long, n1 long" if wanted is None else "label int, have array<int>")
+
+
+def fit(rows: DataFrame) -> Model:
+    """Fit on a bounded table (text, label 0 or 1): log-count ratios of n-gram presence, then logistic regression on them.
+
+    N-grams are counted and looked up in tasks; the driver gets FEATURES n-grams and each sampled document's positions
+    among them. Without rows of both classes the score is the constant share of label 1 (one half without any).
     """
-    labels = rows["label"].to_numpy(np.int64)
-    share = float((labels.sum() + 1) / (len(labels) + 2))
-    if labels.min(initial=1) == labels.max(initial=0):
-        return Model({}, float(np.log(share / (1 - share))))
-    memory: dict[str, set[str]] = {}
-    docs, count = [], ({}, {})
-    for text, label in zip(rows["text"], labels, strict=True):
-        seen: set[str] = set()
-        for word in words(text):
-            have = memory.get(word)
-            if have is None:
-                have = memory[word] = grams(word)
-            seen |= have
-        docs.append(seen)
-        into = count[label]
-        for g in seen:
-            into[g] = into.get(g, 0) + 1
-        if len(memory) > MEMORY:
-            memory.clear()
-    n0, n1 = int((labels == 0).sum()), int((labels == 1).sum())
-    ratio = {}
-    for g in count[0].keys() | count[1].keys():
-        a, b = count[1].get(g, 0), count[0].get(g, 0)
-        if a + b >= 5:
-            r = np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))
-            ratio[g] = (abs(r) / np.sqrt(1 / (a + 1) + 1 / (b + 1)), r)
-    chosen = sorted(ratio, key=lambda g: (-ratio[g][0], g))[:FEATURES]
-    column = {g: k for k, g in enumerate(chosen)}
-    r = np.array([ratio[g][1] for g in chosen])
-    x = np.zeros((len(docs), len(chosen)), np.float32)
-    for i, seen in enumerate(docs):
-        have = [column[g] for g in seen if g in column]
-        x[i, have] = r[have]
-    w, b = _logistic(x, labels.astype(np.float64), np.where(labels == 1, len(labels) / (2 * n1), len(labels) / (2 * n0)))
-    return Model({g: float(w[k] * r[k]) for g, k in column.items() if abs(w[k] * r[k]) > 1e-4}, b)
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    if not n0 or not n1:
+        return Model({}, float(np.log((n1 + 1) / (n0 + 1))))
+    counts = _presence(rows, None).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 5")
+    ratio = F.log((F.col("n1") + 1) / (n1 + 2)) - F.log((F.col("n0") + 1) / (n0 + 2))
+    stands_out = F.abs(F.col("r")) / F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1))
+    chosen = counts.withColumn("r", ratio).orderBy(stands_out.desc(), "gram").limit(FEATURES).collect()
+    if not chosen:
+        return Model({}, float(np.log((n1 + 1) / (n0 + 1))))
+    r = np.array([x["r"] for x in chosen], np.float32)
+    docs = _presence(rows, [x["gram"] for x in chosen]).toPandas().sort_values("label", kind="stable")
+    x = np.zeros((len(docs), len(r)), np.float32)
+    for i, have in enumerate(docs["have"]):
+        x[i, np.asarray(have, np.int64)] = r[np.asarray(have, np.int64)]
+    y = docs["label"].to_numpy(np.float64)
+    w, b = _logistic(x, y, np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0)))
+    weight = w * r
+    return Model({c["gram"]: float(v) for c, v in zip(chosen, weight, strict=True) if abs(v) > 1e-4}, b)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -117,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = F.xxhash64(F.lit(11), "_id")
     picked = [marks.where(F.col("label") == k).orderBy(order, "_id").limit(sample) for k in (0, 1)]
     rows = known.join(picked[0].union(picked[1]).select("_id"), "_id", "left_semi").orderBy(F.xxhash64(F.lit(12), "_id", "text")).limit(2 * sample)
-    return fit(rows.select("text", "label").toPandas())
+    return fit(cut(rows.select("text", "label").repartition(PARTS)))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
