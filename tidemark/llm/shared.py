@@ -26,9 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def join_sized(df: DataFrame, side: DataFrame, on: list[str] | Column, how: str, rows: int) -> DataFrame:
+def join_sized(df: DataFrame, side: DataFrame, on: list[str] | Column, how: str, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side of a known number of rows: broadcast while it is small, else shuffled, where AQE splits hot keys."""
-    return df.join(F.broadcast(side) if rows <= BROADCAST_ROWS else side, on, how)
+    return df.join(F.broadcast(side) if rows <= most else side, on, how)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -59,13 +59,14 @@ def link_buckets(
     rows: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     where: Callable[[str, str], Column] | None = None,
-    extra: tuple[str, ...] = (),
     hot: int = 16,
     rounds: int = 4,
+    counted: bool = False,
 ) -> DataFrame:
     """Edges (a, b) whose components are those of all verified pairs that share a bucket.
 
-    rows: (key, node long, *extra), one row for each bucket that a node is in. verify: keeps the pairs (a, b) that hold.
+    rows: (key, node long, ...), one row for each bucket that a node is in; counted: they have their bucket's size n, are
+    of buckets with more than one row, and are cheap to read again. verify: keeps the pairs (a, b) that hold.
     where: a condition on two rows, given their aliases, that holds for a pair in at least one of its shared buckets.
 
     Buckets of at most hot nodes are joined with themselves. Larger ones never give all their pairs: in each of a few
@@ -73,8 +74,8 @@ def link_buckets(
     components are compared across components. A pair within one component could not change the components, so
     nothing is lost and no bucket is capped.
     """
-    size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = cut(rows.join(size, "key"))
+    if not counted:
+        rows = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     pair = lambda x: x if where is None else x.where(where("l", "r"))
     ends = lambda x: x.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
