@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, mix, pack, simhash, toxicity
+from . import chat, exact, language, lines, merkle, mix, pack, shared, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,51 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(_table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir)).drop("text_hash")
 
 
+#: The tools that the conversations' turns stand for: a user's turn asks for a reply, a system's turn sets instructions.
+SCHEMAS = {"reply": {"prompt": "string", "chars": "integer", "language": "string?"}, "configure": {"instructions": "string"}}
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of users and the system as calls that depend on the call two turns before, assistants' turns as results of the turn before."""
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    name = lambda back: F.concat(F.lit("t"), (F.col("turn") - back).cast("string"))
+    prompt = F.to_json(F.struct(F.col("text").alias("prompt"), F.length("text").alias("chars")))
+    rules = F.to_json(F.struct(F.col("text").alias("instructions")))
+    calls = rows.where("role in ('user', 'system')").select("conv_id", name(0).alias("call_id"), "turn", F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"), F.when(F.col("role") == "user", prompt).otherwise(rules).alias("arguments"), F.array(name(2)).alias("after"))
+    results = rows.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return chat.link_tools(calls, results, SCHEMAS)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages' archive in the shared folder, reads it back and reports what the headers and payloads say."""
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), "url", F.encode("html", "UTF-8").alias("payload"))
+    path = f"{shared.folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(pages, path)
+    found = warc.read_archive(spark, path)
+    field = lambda name: warc.field(F.col("header"), name)
+    return found.select(
+        F.expr("try_cast(regexp_extract(cast(header as string), 'WARC-Record-ID: <urn:page:(-?[0-9]+)>', 1) as bigint)").alias("page_id"),
+        F.col("size").alias("payload_bytes"),
+        F.when(field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("sha1")), F.col("sha1")).otherwise(F.raise_error(F.lit("header and payload differ"))).alias("payload_digest"),
+        field("WARC-Type").alias("record_type"),
+        F.expr("try_cast(regexp_extract(cast(header as string), 'WARC-Refers-To: <urn:page:(-?[0-9]+)>', 1) as bigint)").alias("refers_to"),
+    )
+
+
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs.where(_remainder("doc_id", 3) != 1))
+    return language.predict(docs, model).withColumn("held_out", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)))
+
+
 def _remainder(doc_id: str, by: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % by
 
@@ -60,7 +102,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_packing": op1_bm25_packing,
     "op2_mix_sources": op2_mix_sources,
+    "op3_tool_calls": op3_tool_calls,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc_archive": op5_warc_archive,
+    "op6_merkle": op6_merkle,
+    "op7_language": op7_language,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
@@ -73,4 +119,16 @@ ORACLE: dict[str, str] = {
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n
     """,
+    "op5_warc_archive": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+        d AS (
+            SELECT page_id, h, strlen(h) AS payload_bytes,
+                   array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                     1 + CAST((CAST('0x' || substr(x, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest
+            FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+        FROM d WINDOW w AS (PARTITION BY h)
+    """,
 }

@@ -15,14 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and keep its rows in the shared folder named by spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, one machine) a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once and keep its rows in the shared folder, so that later steps don't compute them again."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
