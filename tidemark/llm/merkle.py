@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import cut, join_sized
 
 #: Words in a leaf and paragraphs in a section, on average.
-LEAF_WORDS, SECTION_PARAGRAPHS = 8, 4
+LEAF_WORDS, SECTION_PARAGRAPHS = 4, 4
 #: Documents between two cuts of the sorted ids, about, and the most cuts.
 BLOCK_ROWS, BLOCKS = 2000, 10_000
 

@@ -75,18 +75,18 @@ def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = language.train(docs.where(_remainder("doc_id", 3) != 1))
-    return language.predict(docs, model).withColumn("held_out", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)))
+    model = language.train(docs.where(remainder("doc_id", 3) != 1))
+    return language.predict(docs, model).withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
 
 
-def _remainder(doc_id: str, by: int) -> Column:
+def remainder(doc_id: str, by: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % by
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = toxicity.train(docs.where(_remainder("doc_id", 5) != 0), _table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)))
+    model = toxicity.train(docs.where(remainder("doc_id", 5) != 0), _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
