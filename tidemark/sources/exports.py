@@ -23,6 +23,10 @@ def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", schema)).alias("c")).select("c.*")
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def _iso(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
@@ -37,8 +41,8 @@ def read_list_export(spark: SparkSession, path: str) -> DataFrame:
     c = _documents(spark, path, LIST_SCHEMA).where(F.size("chat_messages") > 0)
     date = lambda x, what: F.when(x.isNull() | (x == ""), F.raise_error(F.concat(F.lit(f"missing {what} of "), F.coalesce("uuid", F.lit("?"))))).otherwise(F.to_timestamp(x))
     head = lambda m: F.concat(F.lit("\n**"), _label(m["sender"]), F.lit("**"), F.when(F.coalesce(m["created_at"], F.lit("")) != "", F.concat(F.lit(" ("), _iso(F.to_timestamp(m["created_at"])), F.lit(")"))).otherwise(""), F.lit(":\n"))
-    body = F.transform("chat_messages", lambda m: F.concat(head(m), F.trim(F.coalesce(m["text"], F.lit(""))), F.lit("\n")))
-    content = F.concat(F.lit("# "), F.trim(F.coalesce("name", F.lit(""))), F.lit("\n"), F.array_join(body, ""))
+    body = F.transform("chat_messages", lambda m: F.concat(head(m), _strip(F.coalesce(m["text"], F.lit(""))), F.lit("\n")))
+    content = F.concat(F.lit("# "), _strip(F.coalesce("name", F.lit(""))), F.lit("\n"), F.array_join(body, ""))
     return c.select(F.col("uuid").alias("source_id"), content.alias("content"), date(F.col("created_at"), "created_at").alias("created_at"), date(F.col("updated_at"), "updated_at").alias("updated_at"), F.lit("context").alias("memory_type"), F.lit(2).alias("importance"), F.lit("document").alias("storage_mode"))
 
 
@@ -112,8 +116,8 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, heading, body) for each `## ` section, front matter left out."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "").alias("text"))
     parts = whole.select("path", F.posexplode(F.split("text", r"(?m)^(?=## )")).alias("pos", "part"))
-    body = F.trim(F.regexp_replace("part", r"\A## [^\n]*\n?", ""))
-    return parts.select("path", "pos", F.trim(F.regexp_extract("part", r"\A## ([^\n]*)", 1)).alias("heading"), body.alias("body")).where("body <> '' or heading <> ''")
+    body = _strip(F.regexp_replace("part", r"\A## [^\n]*\n?", ""))
+    return parts.select("path", "pos", _strip(F.regexp_extract("part", r"\A## ([^\n]*)", 1)).alias("heading"), body.alias("body")).where("body <> '' or heading <> ''")
 
 
 def write_markdown(records: DataFrame, path: str) -> None:
