@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import cache
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import join_sized
 
-#: Training documents of one language, at most: those with the smallest hashes.
+#: Training documents of one language, about: those whose hash lies below the share that gives so many.
 SAMPLE = 1500
-#: Character n-grams kept: the most frequent ones.
-GRAMS = 60_000
-ORDERS = (1, 2, 3)
+#: Buckets that character trigrams are hashed to: what is learned is a number for each, by language.
+BUCKETS = 1 << 17
 #: What a change of language between two words costs, in nats.
 SWITCH = 16.0
 #: A script is a language's own if it holds this share of its training letters.
 OWN_SHARE = 0.01
-#: Distinct words whose scores one task remembers.
-MEMORY = 400_000
-#: First and last code points of scripts, fixed values.
+LETTERS = re.compile(r"[^\W\d_]+")
+#: First and last code points of scripts in ascending order, fixed values; letters outside are of script "other".
 SCRIPTS = (
     ("latin", 0x41, 0x24F),
-    ("latin", 0x1E00, 0x1EFF),
     ("greek", 0x370, 0x3FF),
     ("cyrillic", 0x400, 0x52F),
     ("armenian", 0x530, 0x58F),
@@ -38,70 +35,53 @@ SCRIPTS = (
     ("tamil", 0xB80, 0xBFF),
     ("thai", 0xE00, 0xE7F),
     ("georgian", 0x10A0, 0x10FF),
+    ("latin", 0x1E00, 0x1EFF),
     ("kana", 0x3040, 0x30FF),
     ("han", 0x3400, 0x9FFF),
     ("hangul", 0xAC00, 0xD7AF),
 )
+NAMES = sorted({x for x, _, _ in SCRIPTS}) + ["other"]
+_FIRST, _LAST = np.array([a for _, a, _ in SCRIPTS]), np.array([b for _, _, b in SCRIPTS])
+_NAME = np.array([NAMES.index(x) for x, _, _ in SCRIPTS])
 
 
-@cache
-def script(char: str) -> str:
-    code = ord(char)
-    return next((name for name, a, b in SCRIPTS if a <= code <= b), "other")
-
+def scripts(codes: np.ndarray) -> np.ndarray:
+    """The script of each code point, as its place in NAMES."""
+    at = np.maximum(np.searchsorted(_FIRST, codes, "right") - 1, 0)
+    return np.where((codes >= _FIRST[at]) & (codes <= _LAST[at]), _NAME[at], len(NAMES) - 1)
 
-def letters(word: str) -> str:
-    """The word's letters in lower case."""
-    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
-
-def grams(word: str) -> list[str]:
-    w = f"\x02{word}\x03"
-    return [*word, *(w[i : i + n] for n in ORDERS[1:] for i in range(len(w) - n + 1))]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, buckets of the trigrams from each on, first trigram of each word, its letters); words have a mark at both ends."""
+    codes = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    mixed = (codes[:-2] * np.uint64(0x9E3779B1) + codes[1:-1]) * np.uint64(0x85EBCA77) + codes[2:]
+    mixed ^= mixed >> np.uint64(29)
+    buckets = ((mixed * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(47)).astype(np.int64)
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    return codes, buckets, np.cumsum(n + 2) - n - 2, n
 
 
 @dataclass
 class Model:
-    """Log-probabilities of n-grams by language; the last row is for unknown ones. Bounded by GRAMS."""
+    """Log-probabilities of trigram buckets by language, and which languages use each script."""
 
     langs: list[str]
-    place: dict[str, int]
     logs: np.ndarray
-    own: dict[str, np.ndarray]  # script -> which languages use it
-    known: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    own: np.ndarray  # script, language
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(log-likelihoods of each word by language, letters of each word); words without letters say nothing."""
-        distinct = dict.fromkeys(words)
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > len(self.table):
-            self.known, new = {}, list(distinct)
-            if len(new) > len(self.table):
-                self.table = np.zeros((max(MEMORY, len(new)), len(self.langs) + 1))
-        if new:
-            at = len(self.known)
-            self.table[at : at + len(new)] = self._score(new)
-            self.known.update(zip(new, range(at, at + len(new)), strict=True))
-        found = self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
-        return found[:, :-1], found[:, -1]
-
-    def _score(self, new: list[str]) -> np.ndarray:
-        own = [letters(w) for w in new]
-        flat, ends = [], [0]
-        for x in own:
-            if x:
-                flat += [self.place.get(g, len(self.place)) for g in grams(x)]
-            ends.append(len(flat))
-        sums = np.vstack([np.zeros(len(self.langs)), np.cumsum(self.logs[flat], axis=0)])
-        score = sums[ends[1:]] - sums[ends[:-1]]
-        if not all(x.all() for x in self.own.values()):  # some script belongs to some languages only
-            for k, x in enumerate(own):
-                use = [self.own[s] for s in {script(c) for c in x} if s in self.own]
-                if use:
-                    score[k][~np.logical_or.reduce(use)] -= 1e3
-        score -= score.max(axis=1, keepdims=True)
-        return np.column_stack([score, [len(x) for x in own]])
+        """(log-likelihood of each word by language, less the best one's; letters of each word)."""
+        codes, buckets, first, n = trigrams(words)
+        sums = np.zeros((len(buckets) + 1, len(self.langs)))
+        np.cumsum(self.logs[buckets], axis=0, out=sums[1:])
+        score = sums[first + n] - sums[first]
+        if not self.own.all():  # scripts that not every language uses leave a word only those which do
+            seen = np.bitwise_or.reduceat(np.where(codes > 3, 1 << scripts(codes), 0), first)
+            kinds, kind = np.unique(seen, return_inverse=True)
+            allowed = np.array([self.own[[k for k in range(len(NAMES)) if m >> k & 1]].any(axis=0) for m in kinds.tolist()])
+            allowed[~allowed.any(axis=1)] = True
+            score[~allowed[kind]] -= 1e3
+        return score - score.max(axis=1, keepdims=True), n
 
     def label(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(language of each word along the best path, letters of each word)."""
@@ -112,77 +92,76 @@ class Model:
         low = np.minimum.accumulate(np.vstack([np.zeros(e.shape[1]), gain[:-1]]), axis=0)
         if (gain - low).max(initial=0) <= SWITCH / 2:
             return np.full(len(words), best), n
-        value, back = e[0].copy(), np.zeros(e.shape, np.int8)
-        stay = np.arange(e.shape[1], dtype=np.int8)
-        for k in range(1, len(e)):
-            top = int(value.argmax())
-            change = value[top] - SWITCH
-            back[k] = np.where(value >= change, stay, top)
-            value = np.maximum(value, change) + e[k]
-        path = np.empty(len(e), np.int64)
-        path[-1] = int(value.argmax())
-        for k in range(len(e) - 1, 0, -1):
-            path[k - 1] = back[k, path[k]]
-        return path, n
+        rows = e.tolist()
+        value, back, every = rows[0], [], range(e.shape[1])
+        for row in rows[1:]:
+            top = max(value)
+            from_, change = value.index(top), top - SWITCH
+            back.append([k if value[k] >= change else from_ for k in every])
+            value = [(x if x >= change else change) + s for x, s in zip(value, row, strict=True)]
+        path = [value.index(max(value))]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        return np.array(path[::-1]), n
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
-        """(language, first word, word after the last) along the text."""
-        words = text.split()
-        if not words or not self.langs:
-            return []
-        path, n = self.label(words)
-        if not n.any():
+        """(language, first character, character after the last) of spans along the text; the letters decide, in runs."""
+        low = text.lower()
+        found = list(LETTERS.finditer(low if len(low) == len(text) else text))
+        if not found or not self.langs:
             return []
+        path, _ = self.label([m[0] for m in found])
         cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-        return [(self.langs[path[a]], a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [(self.langs[path[a]], found[a].start(), found[b - 1].end()) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of most letters and its share of them; und without letters."""
-        words = (text or "").split()
-        if words and self.langs:
-            path, n = self.label(words)
-            share = np.bincount(path, n, len(self.langs))
-            if share.sum():
-                best = int(share.argmax())
-                return self.langs[best], float(share[best] / share.sum())
-        return "und", 0.0
+        words = LETTERS.findall((text or "").lower())
+        if not words or not self.langs:
+            return "und", 0.0
+        path, n = self.label(words)
+        share = np.bincount(path, n, len(self.langs))
+        best = int(share.argmax())
+        return self.langs[best], float(share[best] / share.sum())
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from docs (doc_id, text, lang): at most `sample` documents of each non-null lang, read whole.
+    """Learn from docs (doc_id, text, lang): about `sample` documents of each non-null lang, read whole.
 
-    N-grams are counted in tasks; the driver gets GRAMS of them at most, for each language.
+    Trigrams are counted in tasks; the driver gets BUCKETS counts for each language at most.
     """
-    rows = docs.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.lit(5), F.col("doc_id").cast("string"), "text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = rows.select("lang", "h").withColumn("k", rank).where(F.col("k") <= sample).select("lang", "h").distinct()
-    rows = rows.join(picked, ["lang", "h"], "left_semi").select("lang", "text").repartition(24)
+    rows = docs.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)).alias("h"))
+    size = rows.groupBy("lang").agg(F.count("*").alias("all"))
+    found = {r["lang"]: r["all"] for r in size.limit(10_000).collect()}
+    rows = join_sized(rows, size, ["lang"], "inner", len(found)).where(F.col("h") * F.col("all") < F.lit(sample << 30)).select("lang", "text").repartition(24)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: dict[tuple[str, str], int] = {}
+        count: dict[str, np.ndarray] = {}
         for part in parts:
             for lang, text in zip(part["lang"], part["text"], strict=True):
-                for word in text.split():
-                    own = letters(word)
-                    for g in grams(own) if own else ():
-                        count[lang, g] = count.get((lang, g), 0) + 1
-        yield pd.DataFrame([(a, g, n) for (a, g), n in count.items()], columns=["lang", "gram", "n"])
-
-    counts = cut(rows.mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    top = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(GRAMS)
-    table = counts.join(top, "gram").select("lang", "gram", "n").toPandas()
+                words = LETTERS.findall(text.lower())
+                if words:
+                    codes, buckets, first, n = trigrams(words)
+                    inside = np.ones(len(codes), bool)
+                    inside[first + n] = inside[first + n + 1] = False  # trigrams across two words
+                    own = count.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
+                    own[:BUCKETS] += np.bincount(buckets[inside[:-2]], minlength=BUCKETS)
+                    own[BUCKETS:] += np.bincount(scripts(codes[codes > 3]), minlength=len(NAMES))
+        for lang, own in count.items():
+            some = np.flatnonzero(own)
+            yield pd.DataFrame({"lang": lang, "bucket": some, "n": own[some]})
+
+    table = rows.mapInPandas(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
-    place = {g: k for k, g in enumerate(sorted(table["gram"].unique()))}
-    n = np.zeros((len(place) + 1, len(langs)))
+    n = np.zeros((BUCKETS + len(NAMES), len(langs)))
     if len(table):
-        n[table["gram"].map(place), table["lang"].map({x: k for k, x in enumerate(langs)})] = table["n"]
-    logs = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n)))
-    share: dict[str, np.ndarray] = {}
-    for g, k in place.items():
-        if len(g) == 1:
-            share[script(g)] = share.get(script(g), 0) + n[k]
-    total = sum(share.values()) if share else np.ones(len(langs))
-    return Model(langs, place, logs, {s: x / np.maximum(total, 1) >= OWN_SHARE for s, x in share.items() if (x / np.maximum(total, 1) >= OWN_SHARE).any()})
+        n[table["bucket"], table["lang"].map({x: k for k, x in enumerate(langs)})] = table["n"]
+    seen, letters = n[:BUCKETS], n[BUCKETS:]
+    logs = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * (seen.any(axis=1).sum() + 1)))
+    # A script that none has learned tells nothing.
+    own = (letters >= OWN_SHARE * np.maximum(letters.sum(axis=0), 1)) | ~letters.any(axis=1, keepdims=True)
+    own[~own.any(axis=1)] = True
+    return Model(langs, logs.astype(np.float32), own)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -201,12 +180,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def label_spans(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, first_word, last_word) for each span of one language in each row of docs."""
+    """(doc_id, lang, start, end) for each span of one language in each row of docs, in characters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [(d, lang, a, b - 1) for d, x in zip(part["doc_id"], part["text"], strict=True) for lang, a, b in shared.value.spans(x or "")]
-            yield pd.DataFrame(found, columns=["doc_id", "lang", "first_word", "last_word"])
+            found = [(d, *span) for d, x in zip(part["doc_id"], part["text"], strict=True) for span in shared.value.spans(x or "")]
+            yield pd.DataFrame(found, columns=["doc_id", "lang", "start", "end"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang string, first_word long, last_word long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang string, start long, end long")
