@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, join_sized
+from .shared import WORD, cut, join_sized, unused
 
 #: Documents in one range of the sorted keys, about: the unit of the prefix sums.
 RANGE_ROWS = 20_000
@@ -90,8 +90,9 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, weights:
 
     A document without words has nothing to take: it stays away.
     """
+    d, h, n, k = unused(docs, "_doc", "_hash", "_times", "_time")
     times = mix(docs, quality, weights, share, most, seed).where("taken > 0")
-    times = times.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), (F.col("taken") / F.col("size")).cast("int").alias("_n"))
-    times = times.groupBy("_d", "_h").agg(F.max("_n").alias("_n"))  # rows repeated in full share their outcome
-    met = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")))
-    return met.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    times = times.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), (F.col("taken") / F.col("size")).cast("int").alias(n))
+    times = times.groupBy(d, h).agg(F.max(n).alias(n))  # rows repeated in full share their outcome
+    met = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)))
+    return met.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns])

@@ -29,6 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, whatever its case rules."""
+    have = {c.lower() for c in df.columns}
+    longest = max(map(len, have), default=0)
+    return [n if n.lower() not in have else n + "_" * (longest + 1) for n in names]
+
+
 def join_sized(df: DataFrame, side: DataFrame, on: list[str] | Column, how: str, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side of a known number of rows: broadcast while it is small, else shuffled, where AQE splits hot keys."""
     return df.join(F.broadcast(side) if rows <= most else side, on, how)
@@ -62,6 +69,8 @@ def link_buckets(
     rows: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     where: Callable[[str, str], Column] | None = None,
+    attach: Callable[[DataFrame], DataFrame] | None = None,
+    holds: Callable[[str, str], Column] | None = None,
     hot: int = 16,
     rounds: int = 4,
     counted: bool = False,
@@ -69,34 +78,37 @@ def link_buckets(
     """Edges (a, b) whose components are those of all verified pairs that share a bucket.
 
     rows: (key, node long, ...), one row for each bucket that a node is in; counted: they have their bucket's size n, are
-    of buckets with more than one row, and are cheap to read again. verify: keeps the pairs (a, b) that hold.
-    where: a condition on two rows, given their aliases, that holds for a pair in at least one of its shared buckets.
+    of buckets with more than one row, and are cheap to read again. verify: keeps the pairs (a, b) that hold. where: a
+    condition on two rows, given their aliases, that a pair meets in at least one of its shared buckets. holds: the
+    whole verification as such a condition (where, if that is one), on rows with what attach adds.
 
     Buckets of at most hot nodes are joined with themselves. Larger ones never give all their pairs: in each of a few
-    rounds every node is compared with one hub of its bucket, and afterwards only nodes of buckets that still hold two
-    components are compared across components. A pair within one component could not change the components, so
-    nothing is lost and no bucket is capped.
+    rounds every node is compared with one hub of its bucket; afterwards, in buckets that still hold two components, the
+    nodes outside the largest are compared with the nodes of other components. A pair within one component could not
+    change the components, so nothing is lost and no bucket is capped.
     """
     if not counted:
         rows = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    pair = lambda x: x if where is None else x.where(where("l", "r"))
     ends = lambda x: x.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-
-    def within(some: DataFrame, more: Column) -> DataFrame:
-        return ends(pair(some.alias("l").join(some.alias("r"), (F.col("l.key") == F.col("r.key")) & more)))
-
-    cold = cut(verify(within(rows.where(F.col("n") <= hot).drop("n"), F.col("l.node") < F.col("r.node"))))
+    some = rows.where(F.col("n") <= hot).drop("n")
+    cold = some.alias("l").join(some.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")))
+    pairs = ends(cold if where is None else cold.where(where("l", "r")))
     crowd = cut(rows.where(F.col("n") > hot).drop("n"))
     if crowd.isEmpty():
-        return cold
-    stars = None
+        return cut(verify(pairs))
     for k in range(rounds):
         hubs = crowd.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("hub"))
-        pairs = crowd.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        stars = verify(pairs) if stars is None else stars.union(verify(pairs))
-    stars = cut(stars.distinct())
-    parts = components(stars.union(cold))
-    placed = cut(crowd.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    rest = cut(verify(within(placed.join(mixed, "key", "left_semi"), (F.col("l.node") < F.col("r.node")) & (F.col("l.part") != F.col("r.part")))))
-    return cold.union(stars).union(rest)
+        pairs = pairs.union(crowd.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
+    near = cut(verify(pairs.distinct()))
+    placed = cut(crowd.join(components(near), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
+    parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("part", F.struct("n", "part")).alias("main")).where("k > 1").drop("k")
+    placed = placed.join(mixed, "key")
+    placed = cut(placed if attach is None else attach(placed))
+    apart = (F.col("l.part") != F.col("r.part")) & ((F.col("r.part") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
+    if holds:
+        apart &= holds("l", "r")
+    elif where:
+        apart &= where("l", "r") | where("r", "l")
+    rest = ends(placed.where("part <> main").alias("l").join(placed.alias("r"), (F.col("l.key") == F.col("r.key")) & apart))
+    return near.union(cut(rest if holds else verify(rest)))

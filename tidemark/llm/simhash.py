@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, link_buckets
+from .shared import components, cut, link_buckets, unused
 
 #: Generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -167,6 +167,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
-    """The rows of docs that stay when each component keeps the row with its smallest doc_id (repeats of that row too)."""
-    firsts = near_duplicates(docs, shingle, most).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_first")
-    return docs.join(firsts, docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
+    """The rows of docs that stay when each component keeps the row with its smallest doc_id.
+
+    Rows that repeat that doc_id stay too; rows without a doc_id stay if any component has no other.
+    """
+    (first,) = unused(docs, "_first")
+    firsts = near_duplicates(docs, shingle, most).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
+    return docs.join(firsts, docs["doc_id"].cast("long").eqNullSafe(F.col(first)), "left_semi")
