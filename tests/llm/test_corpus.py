@@ -49,7 +49,7 @@ def test_pack_round_trip(docs, empty, texts):
     assert pack.pack(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("text", ["I'm don't it's 's.", "a,b a,, ,a 'a', x. .x 1.5 1, é. É, ÉÀ.", "<|endoftext|> x<|endoftext|>.y", " a　b. c, 日本語。 日本語. ΑΣ ΣΑΣ. İstanbul, ́ a ́b ŉ ǆ ǅ ſ ß ª º µ", "#$%... ... ., ,. z.. \x1c a\x1db \x85 x"])
+@pytest.mark.parametrize("text", ["I'm don't it's 's.", "a,b a,, ,a 'a', x. .x 1.5 1, é. É, ÉÀ.", "<|endoftext|> x<|endoftext|>.y", " a　b. c, 日本語。 日本語. ΑΣ ΣΑΣ. İstanbul, ́ a ́b ŉ ǆ ǅ ſ ß ª º µ", "abc%%% d'ef!! x|> l'à... a's. b'. c.' “q” e—f… <|endoftext|>", "#$%... ... ., ,. z.. \x1c a\x1db \x85 x"])
 def test_tokens_are_the_library_s(text):
     tokens = pack.Tokens(queries.tokenizer_path())
     tokens.learn(pack.words(text))
@@ -85,8 +85,9 @@ def water(sizes: dict, share: float) -> dict:
 def test_mix(docs, empty, texts):
     import re
 
-    sizes = defaultdict(int)
+    sizes, largest = defaultdict(int), defaultdict(int)
     for r in texts:
+        largest[r[3]] = max(largest[r[3]], len((r[1] or "").split()))
         sizes[r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
     want = water(dict(sizes), 1.5)
     rows = mix.mix(docs).collect()
@@ -95,7 +96,7 @@ def test_mix(docs, empty, texts):
     joined = mix.mix(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("n")).collect()
     for r in joined:
         assert abs(r.t - want[r.source]) < 1e-6 * max(1, want[r.source])
-        assert abs(r.n - r.t) <= 130
+        assert abs(r.n - r.t) <= largest[r.source] / 2  # whole documents, of which one may be most of its source
     assert mix.mix(empty).count() == 0
     assert mix.mixed_documents(docs).columns == docs.columns
 
@@ -111,7 +112,7 @@ def test_mix_follows_quality(spark):
 def test_chat(spark):
     calls = [(1, "a", 0, "reply", '{"prompt":"x","chars":1}', None), (1, "b", 2, "reply", '{"chars":"no","more":1}', ["c"]), (1, "c", 4, "reply", "not json", ["a"]), (1, "c", 4, "reply", "not json", ["a"]), (1, "d", 6, "nothing", "{}", ["e"]), (1, "e", 7, "configure", '{"instructions":"é\\n"}', ["d"]), (2, "a", 0, None, None, [None]), (None, "z", 0, "reply", "{}", None)]
     results = [(1, "a", 1, "fine"), (1, "b", 1, None), (1, "zz", 5, "lost"), (1, "a", 9, "late copy")]
-    out = chat.link_tools(spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"), spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"), queries.SCHEMAS)
+    out = chat.link_tools(spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"), spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"), queries.SCHEMAS, rounds=3)
     got = {(r.conv_id, r.call_id): r for r in out.collect()}
     assert len(got) == 7
     assert got[1, "a"].status == "linked" and got[1, "a"].errors == "" and got[1, "a"].repeats == 1

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 #: Rounds in which places are handed on along dependencies that come later in the conversation than what needs them.
-ROUNDS = 32
+ROUNDS = 16
 #: JSON types of a schema, with the names that schema_of_variant gives them; fixed values.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
 
@@ -52,18 +52,18 @@ def _once(rows: DataFrame, keep: list[str]) -> DataFrame:
     return first.select("conv_id", "call_id", "x.*", "repeats")
 
 
-def _places(calls: DataFrame) -> DataFrame:
+def _places(calls: DataFrame, rounds: int) -> DataFrame:
     """(conv_id, call_id, place, hops): sorted by them, then turn and id, every call follows what it depends on.
 
     A call's place is its own turn, or that of the latest thing it depends on, directly or not, if that is later; hops
     counts the steps to it. Only dependencies that stand later than what needs them change anything, so a long
     conversation in order takes one round. hops is null where the dependencies don't settle: they run in a circle, or
-    over ROUNDS such steps.
+    over `rounds` such steps.
     """
     edges = cut(calls.select("conv_id", "call_id", F.explode("after").alias("on")).where("on is not null").distinct())
     now = cut(calls.select("conv_id", "call_id", F.col("turn").alias("place"), F.lit(0).alias("hops")))
     pending = 0
-    for k in range(ROUNDS + 1):
+    for k in range(rounds + 1):
         ahead = edges.join(now.withColumnRenamed("call_id", "on"), ["conv_id", "on"]).groupBy("conv_id", "call_id").agg(F.max(F.struct("place", (F.col("hops") + 1).alias("hops"))).alias("got"))
         late = now.join(ahead, ["conv_id", "call_id"]).where(F.col("got") > F.struct("place", "hops"))
         late = cut(late.where(F.col("got.place") >= F.col("place")).select("conv_id", "call_id", "got"))
@@ -71,12 +71,12 @@ def _places(calls: DataFrame) -> DataFrame:
         if not pending:
             return now
         changed = now.join(late, ["conv_id", "call_id"], "left")
-        hops = F.lit(None).cast("int") if k == ROUNDS else F.coalesce("got.hops", "hops")
+        hops = F.lit(None).cast("int") if k == rounds else F.coalesce("got.hops", "hops")
         now = cut(changed.select("conv_id", "call_id", F.coalesce("got.place", "place").alias("place"), F.when(F.col("got").isNull(), F.col("hops")).otherwise(hops).alias("hops")))
     return now
 
 
-def link_tools(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, str]]) -> DataFrame:
+def link_tools(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, str]], rounds: int = ROUNDS) -> DataFrame:
     """One row for each tool call or orphan result: (conv_id, call_id, turn, status, errors, place, hops, repeats, message).
 
     calls: (conv_id, call_id, turn, name, arguments JSON, after array of call ids); results: (conv_id, call_id, turn,
@@ -89,7 +89,7 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
     c = _once(calls.select("conv_id", "call_id", "turn", "name", "arguments", F.array_sort("after").alias("after")), ["name", "arguments", "after"])
     r = _once(results.select("conv_id", "call_id", "turn", "content"), ["content"]).select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.col("repeats").alias("result_repeats"))
     c = cut(c.withColumn("errors", argument_errors(F.col("name"), F.col("arguments"), schemas)))
-    both = c.join(_places(c), ["conv_id", "call_id"]).join(r, ["conv_id", "call_id"], "full")
+    both = c.join(_places(c, rounds), ["conv_id", "call_id"]).join(r, ["conv_id", "call_id"], "full")
     status = F.when(F.col("repeats").isNull(), "orphan_result").when(F.col("result_repeats").isNull(), "no_result").when(F.col("result_turn") < F.col("turn"), "early_result").otherwise("linked")
     quote = lambda x: F.to_json(F.to_variant_object(F.struct(x.alias("v"))))
     value = lambda x: F.regexp_extract(quote(x), r'(?s)^\{"v":(.*)\}$', 1)

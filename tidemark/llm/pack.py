@@ -20,9 +20,13 @@ TERMS = 1 << 18
 SHARD_WORDS = 3_000_000
 #: Terms of a seed that are looked up, those of most weight.
 QUERY_TERMS = 32
+#: Neighbours asked for at once. A seed whose neighbours are used up before its window is full is followed in order.
+NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 #: Token ids of so many distinct words are kept from one shard to the next by a Python worker.
 MEMORY = 600_000
+#: Marks that end words here; a run of them is one piece to the tokenizer. The apostrophe isn't among them: it may begin a piece.
+MARKS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != ord("'"))
 #: Letters below this code point are composed and have one form under any version of Unicode.
 LATIN = 0x250
 
@@ -85,15 +89,15 @@ class Merges:
                     j, k = i[have], side[have]
                     rank[j, k] = self.rank(now[j, k], now[j, k + 1])
                 out[row, : now.shape[1]] = now
-            for w, ids, n in zip(some, out, count.tolist(), strict=True):
-                yield w, ids[:n].tobytes()
+            flat, ends = out[np.arange(size) < count[:, None]].tobytes(), np.cumsum(2 * count).tolist()
+            yield from zip(some, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
 
 
 class Tokens:
     """Token ids of texts, by word: the tokenizer drops white space and never joins what it separates.
 
     Words of small Latin letters, which are nearly all of the distinct ones, take the file's merges in bulk; a word
-    that ends in a full stop or comma is read as its letters and the mark, as the tokenizer does; any other word is
+    that ends in marks is read as its letters and the marks, as the tokenizer does; any other word is
     given to the library.
     """
 
@@ -108,25 +112,34 @@ class Tokens:
     def learn(self, words: Iterable[bytes]) -> None:
         if len(self.known) > MEMORY:
             self.known.clear()
-        known, plain, other, marked = self.known, set(), [b".", b","], []
+        known, plain, other, marked, marks = self.known, set(), [], [], set()
         for w in words:
             if w in known:
                 continue
-            core = w[:-1] if w[-1:] in b".," else w
-            if not core.isalpha():  # bytes: ASCII letters only
+            if w.isalpha():  # bytes: ASCII letters only
+                plain.add(w)
+                continue
+            core = w.rstrip(MARKS)
+            mark = w[len(core) :]
+            if not core.isalpha():
                 char = core.decode()
-                if not (char.isalpha() and max(char) < chr(LATIN) and char.lower() == char):
+                low = char.lower()
+                if not (low.isalpha() and max(char) < chr(LATIN) and len(low) == len(char)):
                     other.append(w)
                     continue
-            if core not in known:
-                plain.add(core)
-            if core is not w:
-                marked.append(w)
+                core = low.encode()
+            plain.add(core)
+            marks.add(mark)
+            if core != w:
+                marked.append((w, core, mark))
+        known[b""] = b""
+        other += [m for m in marks if m not in known]
+        plain = [w for w in plain if w not in known]
         found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
         known.update(zip(other, (np.array(x.ids, "<u2").tobytes() for x in found), strict=True))
-        known.update(self.merges.encode(sorted(plain)))
-        for w in marked:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+        known.update(self.merges.encode(plain))
+        for w, core, mark in marked:
+            known[w] = known[core] + known[mark]
 
     def ids(self, parts: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u2")
@@ -147,7 +160,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
             for text in part["text"]:
                 have = words(text)
                 n, total = n + 1, total + len(have)
-                count[np.unique(np.fromiter(map(crc32, set(have)), np.uint32) % TERMS)] += 1
+                count[np.fromiter(map(crc32, set(have)), np.uint32) % TERMS] += 1  # a term that occurs twice here counts once
         some = np.flatnonzero(count)
         yield pd.DataFrame({"term": np.concatenate([some, [-1, -2]]), "n": np.concatenate([count[some], [n, total]])})
 
@@ -179,13 +192,15 @@ class Index:
         self.at = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=TERMS))])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share terms with the seed, best first."""
+        """Unused documents that share terms with the seed, best first: the best NEIGHBOURS and what ties with them."""
         spans = [slice(self.at[t], self.at[t + 1]) for t in self.query[seed]]
         if not spans:
             return np.zeros(0, np.int64)
         docs = np.concatenate([self.docs[s] for s in spans])
         score = np.bincount(docs, np.concatenate([self.weight[s] for s in spans]), len(unused)) * unused
-        some = np.flatnonzero(score > 0)
+        some = np.flatnonzero(score)
+        if len(some) > NEIGHBOURS:
+            some = some[score[some] >= np.partition(score[some], -NEIGHBOURS)[-NEIGHBOURS]]
         return some[np.argsort(-score[some], kind="stable")]
 
 
@@ -205,7 +220,7 @@ def fill(sizes: np.ndarray, index: Index, window: int) -> list[tuple[int, int, i
         if queue:
             doc = queue.pop()
         elif seed >= 0 and fresh:
-            queue = index.neighbours(seed, unused)[:64][::-1].tolist()
+            queue = index.neighbours(seed, unused)[::-1].tolist()
             fresh = False
             doc = queue.pop() if queue else -1
         if doc < 0:

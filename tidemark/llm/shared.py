@@ -103,8 +103,8 @@ def link_buckets(
     placed = cut(crowd.join(components(near), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
     parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("part", F.struct("n", "part")).alias("main")).where("k > 1").drop("k")
-    placed = placed.join(mixed, "key")
-    placed = cut(placed if attach is None else attach(placed))
+    placed = cut(placed.join(mixed, "key"))
+    placed = placed if attach is None else attach(placed)
     apart = (F.col("l.part") != F.col("r.part")) & ((F.col("r.part") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
     if holds:
         apart &= holds("l", "r")
