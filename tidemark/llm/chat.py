@@ -57,22 +57,23 @@ def _places(calls: DataFrame, rounds: int) -> DataFrame:
 
     A call's place is its own turn, or that of the latest thing it depends on, directly or not, if that is later; hops
     counts the steps to it. Only dependencies that stand later than what needs them change anything, so a long
-    conversation in order takes one round. hops is null where the dependencies don't settle: they run in a circle, or
-    over `rounds` such steps.
+    conversation in order takes one round. hops is null for the calls that wait at a place where dependencies don't
+    settle: they run in a circle, or over `rounds` such steps.
     """
     edges = cut(calls.select("conv_id", "call_id", F.explode("after").alias("on")).where("on is not null").distinct())
     now = cut(calls.select("conv_id", "call_id", F.col("turn").alias("place"), F.lit(0).alias("hops")))
-    pending = 0
     for k in range(rounds + 1):
         ahead = edges.join(now.withColumnRenamed("call_id", "on"), ["conv_id", "on"]).groupBy("conv_id", "call_id").agg(F.max(F.struct("place", (F.col("hops") + 1).alias("hops"))).alias("got"))
         late = now.join(ahead, ["conv_id", "call_id"]).where(F.col("got") > F.struct("place", "hops"))
         late = cut(late.where(F.col("got.place") >= F.col("place")).select("conv_id", "call_id", "got"))
-        pending = late.count()
-        if not pending:
+        if late.isEmpty():
             return now
+        if k == rounds:
+            stuck = late.select("conv_id", F.col("got.place").alias("place"), F.lit(True).alias("stuck")).distinct()
+            marked = now.join(stuck, ["conv_id", "place"], "left")
+            return marked.select("conv_id", "call_id", "place", F.when(F.col("stuck").isNull() | (F.col("hops") == 0), F.col("hops")).alias("hops"))
         changed = now.join(late, ["conv_id", "call_id"], "left")
-        hops = F.lit(None).cast("int") if k == rounds else F.coalesce("got.hops", "hops")
-        now = cut(changed.select("conv_id", "call_id", F.coalesce("got.place", "place").alias("place"), F.when(F.col("got").isNull(), F.col("hops")).otherwise(hops).alias("hops")))
+        now = cut(changed.select("conv_id", "call_id", F.coalesce("got.place", "place").alias("place"), F.coalesce("got.hops", "hops").alias("hops")))
     return now
 
 
