@@ -90,22 +90,27 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(where), np.concatenate(out), np.concatenate(side)
 
 
-def simhash(text: str | None, shingle: int) -> int:
-    """A bit is 1 if it is set in over half of the shingles' XXH64 (seed 42); 0 without words. Reads the whole text in blocks."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the shingles of so many words, in blocks; a text with fewer words is one shingle, without words none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    total, n = np.zeros(64, np.int64), 0
+        return
     for at in range(0, max(1, len(words) - shingle + 1), BLOCK):
         part = words[at : at + BLOCK + shingle - 1]
         joined = b" ".join(part)
         ends = list(accumulate(len(w) + 1 for w in part))
         starts = [0, *ends]
         last = ends[shingle - 1 :] or ends[-1:]
-        hashes = np.array([xxh64_intdigest(joined[s : e - 1], 42) for s, e in zip(starts, last, strict=False)], ">u8")
-        total += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        yield np.array([xxh64_intdigest(joined[s : e - 1], 42) for s, e in zip(starts, last, strict=False)], np.uint64)
+
+
+def simhash(text: str | None, shingle: int) -> int:
+    """A bit is 1 if it is set in over half of the shingles' hashes; 0 without words. Reads the whole text in blocks."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        total += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
         n += len(hashes)
     return int(np.packbits(total * 2 > n).view(">u8")[0])
 
