@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-#: Rounds in which places are handed on along dependencies that come later in the conversation than what needs them.
-ROUNDS = 16
 #: JSON types of a schema, with the names that schema_of_variant gives them; fixed values.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
 
@@ -52,32 +50,49 @@ def _once(rows: DataFrame, keep: list[str]) -> DataFrame:
     return first.select("conv_id", "call_id", "x.*", "repeats")
 
 
-def _places(calls: DataFrame, rounds: int) -> DataFrame:
+def _places(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, place, hops): sorted by them, then turn and id, every call follows what it depends on.
 
     A call's place is its own turn, or that of the latest thing it depends on, directly or not, if that is later; hops
-    counts the steps to it. Only dependencies that stand later than what needs them change anything, so a long
-    conversation in order takes one round. hops is null for the calls that wait at a place where dependencies don't
-    settle: they run in a circle, or over `rounds` such steps.
+    counts the longest chain of dependencies at that place. Only dependencies that stand at the same turn or later than what
+    needs them change anything, so a long conversation in order takes one round. hops is null for the calls that run in a circle,
+    or wait at its place for one; no number of rounds is given.
     """
     edges = cut(calls.select("conv_id", "call_id", F.explode("after").alias("on")).where("on is not null").distinct())
-    now = cut(calls.select("conv_id", "call_id", F.col("turn").alias("place"), F.lit(0).alias("hops")))
-    for k in range(rounds + 1):
-        ahead = edges.join(now.withColumnRenamed("call_id", "on"), ["conv_id", "on"]).groupBy("conv_id", "call_id").agg(F.max(F.struct("place", (F.col("hops") + 1).alias("hops"))).alias("got"))
-        late = now.join(ahead, ["conv_id", "call_id"]).where(F.col("got") > F.struct("place", "hops"))
-        late = cut(late.where(F.col("got.place") >= F.col("place")).select("conv_id", "call_id", "got"))
+    # best: the latest call known to be needed. Its own best is taken over too, which doubles the reach along rising turns.
+    now = cut(calls.select("conv_id", "call_id", F.struct(F.col("turn").alias("place"), F.col("call_id").alias("id")).alias("best")))
+    while True:
+        known = lambda name: now.select("conv_id", F.col("call_id").alias(name), F.col("best").alias("got"))
+        ahead = edges.join(known("on"), ["conv_id", "on"]).select("conv_id", "call_id", "got")
+        jumps = now.where("best.id <> call_id").select("conv_id", "call_id", F.col("best.id").alias("on")).join(known("on"), ["conv_id", "on"]).select("conv_id", "call_id", "got")
+        ahead = ahead.union(jumps).groupBy("conv_id", "call_id").agg(F.max("got").alias("got"))
+        late = cut(now.join(ahead, ["conv_id", "call_id"]).where("got.place > best.place").select("conv_id", "call_id", "got"))
         if late.isEmpty():
-            return now
-        if k == rounds:
-            stuck = late.select("conv_id", F.col("got.place").alias("place"), F.lit(True).alias("stuck")).distinct()
-            marked = now.join(stuck, ["conv_id", "place"], "left")
-            return marked.select("conv_id", "call_id", "place", F.when(F.col("stuck").isNull() | (F.col("hops") == 0), F.col("hops")).alias("hops"))
-        changed = now.join(late, ["conv_id", "call_id"], "left")
-        now = cut(changed.select("conv_id", "call_id", F.coalesce("got.place", "place").alias("place"), F.coalesce("got.hops", "hops").alias("hops")))
-    return now
-
-
-def link_tools(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, str]], rounds: int = ROUNDS) -> DataFrame:
+            break
+        now = cut(now.join(late, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("got", "best").alias("best")))
+    now = now.select("conv_id", "call_id", F.col("best.place").alias("place"))
+    # Calls with dependencies at their own place are peeled: a round settles those whose dependencies there are settled.
+    tight = edges.join(now, ["conv_id", "call_id"]).join(now.select("conv_id", F.col("call_id").alias("on"), F.col("place").alias("there")), ["conv_id", "on"])
+    tight = cut(tight.where("place = there").select("conv_id", "call_id", "on"))
+    hops, left, k = None, tight.count(), 0
+    while left:
+        k += 1
+        waiting = tight.select("conv_id", "call_id").distinct()
+        rest = cut(tight.join(waiting.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi"))
+        still = rest.select("conv_id", "call_id").distinct()
+        n = rest.count()
+        found = still.select("conv_id", "call_id", F.lit(None).cast("int").alias("hops")) if n == left else waiting.join(still, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(k).alias("hops"))
+        hops = cut(found if hops is None else hops.union(found))
+        if n == left:
+            break
+        tight, left = rest, n
+    if hops is None:
+        return now.withColumn("hops", F.lit(0))
+    hops = hops.withColumn("_peeled", F.lit(True))
+    return now.join(hops, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "place", F.when(F.col("_peeled"), F.col("hops")).otherwise(0).alias("hops"))
+
+
+def link_tools(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, str]], rounds: int | None = None) -> DataFrame:
     """One row for each tool call or orphan result: (conv_id, call_id, turn, status, errors, place, hops, repeats, message).
 
     calls: (conv_id, call_id, turn, name, arguments JSON, after array of call ids); results: (conv_id, call_id, turn,
@@ -85,12 +100,13 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
     its call) or orphan_result. errors: see argument_errors. message: canonical JSON of the call and its result; arguments
     that aren't JSON appear as a string. Sorted by place, hops, turn and call_id a conversation is in topological order.
     Repeated identifiers keep the earliest call and result and are counted in repeats; rows without conversation or
-    identifier are left out; an empty table gives an empty result.
+    identifier are left out; an empty table gives an empty result. rounds no longer limits anything and is not used: places are
+    handed on until nothing changes.
     """
     c = _once(calls.select("conv_id", "call_id", "turn", "name", "arguments", F.array_sort("after").alias("after")), ["name", "arguments", "after"])
     r = _once(results.select("conv_id", "call_id", "turn", "content"), ["content"]).select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.col("repeats").alias("result_repeats"))
     c = cut(c.withColumn("errors", argument_errors(F.col("name"), F.col("arguments"), schemas)))
-    both = c.join(_places(c, rounds), ["conv_id", "call_id"]).join(r, ["conv_id", "call_id"], "full")
+    both = c.join(_places(c), ["conv_id", "call_id"]).join(r, ["conv_id", "call_id"], "full")
     status = F.when(F.col("repeats").isNull(), "orphan_result").when(F.col("result_repeats").isNull(), "no_result").when(F.col("result_turn") < F.col("turn"), "early_result").otherwise("linked")
     quote = lambda x: F.to_json(F.to_variant_object(F.struct(x.alias("v"))))
     value = lambda x: F.regexp_extract(quote(x), r'(?s)^\{"v":(.*)\}$', 1)
