@@ -1,12 +1,13 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions alone.
 
-Lines are compared in lower case without spaces at the ends. A line's signature has the least hashes, under six
-orders, of the character shingles that start at its words; the four least of an order are a band, and bands are buckets. Two lines are near duplicates when
-the Jaccard similarity of their sets of all character 5-grams is at least 0.8: that is verified exactly. Components
-of the verified links, found by a distributed union-find, keep the line that comes first and lose the others.
-
-MinHash is a randomised filter: at similarity 0.8 six bands of four catch about 96 % of single pairs, at 0.9 over 99.8 %, and a component
-is missed only where every path of links is.
+Lines are compared in lower case, with runs of white space as one space and none at the ends. Two lines are near duplicates
+when the Jaccard similarity of their sets of all character 5-grams is at least 0.8: that is verified exactly. Signatures
+are of the same sets: at each of twelve marks on the ring of 64-bit hashes, the five hashes that follow are a band, and bands are
+buckets. Components of the verified links, found by a distributed union-find, keep the line that comes first and lose the others.
+
+MinHash is a randomised filter: at similarity 0.80-0.85 twelve bands of five catch 99.4 to 99.9 % of single pairs (up to 1500 pairs each
+of lines of 8, 15 and 40 words and of 40 CJK characters, against brute force), and a component is missed only where every path
+of links is.
 """
 
 from __future__ import annotations
@@ -16,20 +17,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, join_sized, link_buckets, unused
+from .shared import SPACE, components, cut, join_sized, link_buckets, unused
 
 #: Lines with fewer characters than this stay as they are: what is so short repeats by chance.
 LEAST_CHARS = 24
-#: Characters of a shingle in signatures, and in the exact comparison.
-ANCHORED, GRAM = 8, 5
-BANDS, ROWS = 6, 4
+#: Characters of a shingle, in signatures and in the exact comparison.
+GRAM = 5
+BANDS, ROWS = 12, 5
 SIMILAR = 0.8
 #: Rows of two longs that may be broadcast; more are joined by a shuffle.
 FETCH_ROWS = 500_000
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.lower(line))
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
 
 
 def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -41,8 +42,7 @@ def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """(node, n, bands) of every distinct line, with n its occurrences. Only hashes leave a line's task, combined by line."""
-    shingles = F.regexp_extract_all("norm", F.lit(f"(?:^| )(?=(.{{{ANCHORED}}}))"), F.lit(1))
-    rows = lines.select("node", F.sort_array(F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x)))).alias("h"))
+    rows = lines.select("node", F.sort_array(_grams(F.col("norm"))).alias("h"))
     # The band at a mark is the ROWS hashes that follow it, around the end: the least ones under one order for each mark.
     marks = [(k << 64) // BANDS - (1 << 63) for k in range(BANDS)]
     rows = rows.where(F.size("h") > 0).select("node", F.concat("h", F.slice("h", 1, ROWS)).alias("ring"), F.sort_array(F.concat("h", F.array(*map(F.lit, marks)))).alias("marked"))
@@ -53,7 +53,7 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def _grams(text: Column, by: Callable[[Column], Column] = F.xxhash64) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?=(.{{{GRAM}}}))"), F.lit(1)), lambda g: by(g)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), lambda g: by(g)))
 
 
 def _alike(g: Column, h: Column, similar: float) -> Column:
