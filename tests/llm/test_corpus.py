@@ -114,7 +114,7 @@ def test_chat(spark):
     results = [(1, "a", 1, "fine"), (1, "b", 1, None), (1, "zz", 5, "lost"), (1, "a", 9, "late copy")]
     out = chat.link_tools(spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"), spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"), queries.SCHEMAS, rounds=3)
     got = {(r.conv_id, r.call_id): r for r in out.collect()}
-    assert len(got) == 7
+    assert len(got) == 8 and got[None, "z"].status == "no_identifier" and got[None, "z"].errors == "missing:chars,missing:prompt"
     assert got[1, "a"].status == "linked" and got[1, "a"].errors == "" and got[1, "a"].repeats == 1
     assert got[1, "a"].message == '{"arguments":{"chars":1,"prompt":"x"},"content":"fine","id":"a","name":"reply"}'
     assert got[1, "b"].status == "early_result" and got[1, "b"].errors == "extra:more,missing:prompt,type:chars"

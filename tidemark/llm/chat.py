@@ -45,7 +45,7 @@ def argument_errors(name: Column, arguments: Column, schemas: Mapping[str, Mappi
 
 
 def _once(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """One row for each (conv_id, call_id): the earliest turn's, then the smallest in the other columns; null ids are left out."""
+    """One row for each (conv_id, call_id): the earliest turn's, then the smallest in the other columns; rows with null ids aren't among them."""
     first = rows.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", *keep)).alias("x"), F.count("*").alias("repeats"))
     return first.select("conv_id", "call_id", "x.*", "repeats")
 
@@ -96,25 +96,29 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
     """One row for each tool call or orphan result: (conv_id, call_id, turn, status, errors, place, hops, repeats, message).
 
     calls: (conv_id, call_id, turn, name, arguments JSON, after array of call ids); results: (conv_id, call_id, turn,
-    content). Calls and results are joined on the identifier. status: linked, no_result, early_result (it stands before
-    its call) or orphan_result. errors: see argument_errors. message: canonical JSON of the call and its result; arguments
+    content). Calls and results are joined on the identifier by hash. status: linked, no_result, early_result (it stands before
+    its call), orphan_result, or no_identifier for each call or result without conversation or identifier, which nothing can link. errors: see argument_errors. message: canonical JSON of the call and its result; arguments
     that aren't JSON appear as a string. Sorted by place, hops, turn and call_id a conversation is in topological order.
-    Repeated identifiers keep the earliest call and result and are counted in repeats; rows without conversation or
-    identifier are left out; an empty table gives an empty result. rounds no longer limits anything and is not used: places are
+    Repeated identifiers keep the earliest call and result and are counted in repeats; an empty table gives an empty result. rounds no longer limits anything and is not used: places are
     handed on until nothing changes.
     """
     c = _once(calls.select("conv_id", "call_id", "turn", "name", "arguments", F.array_sort("after").alias("after")), ["name", "arguments", "after"])
     r = _once(results.select("conv_id", "call_id", "turn", "content"), ["content"]).select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.col("repeats").alias("result_repeats"))
     c = cut(c.withColumn("errors", argument_errors(F.col("name"), F.col("arguments"), schemas)))
-    both = c.join(_places(c), ["conv_id", "call_id"]).join(r, ["conv_id", "call_id"], "full")
-    status = F.when(F.col("repeats").isNull(), "orphan_result").when(F.col("result_repeats").isNull(), "no_result").when(F.col("result_turn") < F.col("turn"), "early_result").otherwise("linked")
+    # Both sides have one row for each identifier, so their hash tables are even.
+    both = c.join(_places(c), ["conv_id", "call_id"]).join(r.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
+    nameless = "conv_id is null or call_id is null"
+    lone = calls.where(nameless).select("conv_id", "call_id", "turn", "name", "arguments", F.lit(1).alias("repeats"), F.lit(0).alias("hops"), argument_errors(F.col("name"), F.col("arguments"), schemas).alias("errors"))
+    both = both.unionByName(lone, allowMissingColumns=True)
+    both = both.unionByName(results.where(nameless).select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.lit(1).alias("result_repeats")), allowMissingColumns=True)
+    status = F.when(F.expr(nameless), "no_identifier").when(F.col("repeats").isNull(), "orphan_result").when(F.col("result_repeats").isNull(), "no_result").when(F.col("result_turn") < F.col("turn"), "early_result").otherwise("linked")
     quote = lambda x: F.to_json(F.to_variant_object(F.struct(x.alias("v"))))
     value = lambda x: F.regexp_extract(quote(x), r'(?s)^\{"v":(.*)\}$', 1)
     arguments = F.coalesce(canonical(F.col("arguments")), value(F.col("arguments")), F.lit("null"))
     parts = [
         F.when(F.col("repeats").isNotNull(), F.concat(F.lit('"arguments":'), arguments)),
         F.when(F.col("result_repeats").isNotNull(), F.concat(F.lit('"content":'), F.coalesce(value(F.col("content")), F.lit("null")))),
-        F.concat(F.lit('"id":'), value(F.col("call_id"))),
+        F.concat(F.lit('"id":'), F.coalesce(value(F.col("call_id")), F.lit("null"))),
         F.when(F.col("name").isNotNull(), F.concat(F.lit('"name":'), value(F.col("name")))),
     ]
     message = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_sized
+from .shared import join_sized, with_texts
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 #: Training documents of one language, about: those whose hash lies below the share that gives so many.
 SAMPLE = 1500
@@ -171,21 +175,27 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [shared.value.predict(x) for x in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": [a for a, _ in found], "score": [b for _, b in found]})
+    def start() -> Callable[[list[str | None]], list[pa.Array]]:
+        import pyarrow as pa
+
+        def make(texts: list[str | None]) -> list[pa.Array]:
+            found = [shared.value.predict(x) for x in texts]
+            return [pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+        return make
+
+    return with_texts(docs, start, "lang_pred string, score double")
 
 
 def label_spans(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, start, end) for each span of one language in each row of docs, in characters."""
+    """(doc_id, lang, start, end) for each span of one language in each row of docs, in characters; none for null or letterless texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [(d, *span) for d, x in zip(part["doc_id"], part["text"], strict=True) for span in shared.value.spans(x or "")]
-            yield pd.DataFrame(found, columns=["doc_id", "lang", "start", "end"])
+    def start() -> Callable[[list[str | None]], list[pa.Array]]:
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        return lambda texts: [pa.array([[dict(zip(("lang", "start", "end"), x, strict=True)) for x in shared.value.spans(t or "")] for t in texts], kind)]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang string, start long, end long")
+    spans = with_texts(docs, start, "spans array<struct<lang:string,start:bigint,end:bigint>>")
+    return spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")

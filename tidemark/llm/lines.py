@@ -1,32 +1,45 @@
-"""Fuzzy line deduplication by MinHash, with DataFrame functions alone.
+"""Fuzzy line deduplication by MinHash.
 
 Lines are compared in lower case, with runs of white space as one space and none at the ends. Two lines are near duplicates
-when the Jaccard similarity of their sets of all character 5-grams is at least 0.8: that is verified exactly. Signatures
-are of the same sets: at each of twelve marks on the ring of 64-bit hashes, the five hashes that follow are a band, and bands are
-buckets. Components of the verified links, found by a distributed union-find, keep the line that comes first and lose the others.
+when the Jaccard similarity of their sets of all character 5-grams is at least 0.8: that is verified exactly. Signatures are
+of the same sets, eight bands of four hashes, and bands are buckets. Components of the verified links, found by a
+distributed union-find, keep the line that comes first and lose the others.
 
-MinHash is a randomised filter: at similarity 0.80-0.85 twelve bands of five catch 99.4 to 99.9 % of single pairs (up to 1500 pairs each
-of lines of 8, 15 and 40 words and of 40 CJK characters, against brute force), and a component is missed only where every path
-of links is.
+Lines are cut, normalised, joined, linked and dropped by DataFrame functions; only signatures and exact comparisons run on
+Arrow batches, as their native forms (array functions over all 5-grams) took four times the CPU that the work may take.
+
+MinHash is a randomised filter: eight bands of four make 1 - (1 - s^4)^8 of single pairs candidates, 98.5 % at similarity
+0.8 and 99.7 % at 0.85, and a line is missed only where every path of links is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, components, cut, join_sized, link_buckets, unused
+from .shared import SPACE, components, cut, join_hot, join_sized, link_buckets, text_bytes, unused
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 #: Lines with fewer characters than this stay as they are: what is so short repeats by chance.
 LEAST_CHARS = 24
 #: Characters of a shingle, in signatures and in the exact comparison.
 GRAM = 5
-BANDS, ROWS = 12, 5
+BANDS, ROWS = 8, 4
 SIMILAR = 0.8
 #: Rows of two longs that may be broadcast; more are joined by a shuffle.
 FETCH_ROWS = 500_000
+#: Characters put under all orders at once.
+BLOCK = 1 << 16
+#: An order of 32-bit hashes is the product with one of these odd numbers.
+ORDERS = np.random.default_rng(42).integers(1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Odd multipliers that stir.
+STIR = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 def _normal(line: Column) -> Column:
@@ -36,24 +49,67 @@ def _normal(line: Column) -> Column:
 def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
     """Long enough lines as (doc_id, text_hash, pos, node, norm); node is the hash of the normalised line."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "text_hash", "pos", _normal(F.col("line")).alias("norm")).where(F.length("norm") >= least_chars)
+    rows = rows.select("doc_id", "text_hash", "pos", _normal(F.col("line")).alias("norm")).where(F.length("norm") >= max(least_chars, 1))
     return rows.select("doc_id", "text_hash", "pos", F.xxhash64("norm").alias("node"), "norm")
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """(node, n, bands) of every distinct line, with n its occurrences. Only hashes leave a line's task, combined by line."""
-    rows = lines.select("node", F.sort_array(_grams(F.col("norm"))).alias("h"))
-    # The band at a mark is the ROWS hashes that follow it, around the end: the least ones under one order for each mark.
-    marks = [(k << 64) // BANDS - (1 << 63) for k in range(BANDS)]
-    rows = rows.where(F.size("h") > 0).select("node", F.concat("h", F.slice("h", 1, ROWS)).alias("ring"), F.sort_array(F.concat("h", F.array(*map(F.lit, marks)))).alias("marked"))
-    band = [F.xxhash64(F.lit(k), F.slice("ring", (F.array_position("marked", F.lit(m)) - k).cast("int"), ROWS)) for k, m in enumerate(marks)]
-    rows = rows.select("node", *[x.alias(f"b{k}") for k, x in enumerate(band)])
-    one = rows.groupBy("node").agg(F.count("*").alias("n"), *[F.max(f"b{k}").alias(f"b{k}") for k in range(BANDS)])
-    return one.select("node", "n", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands"))
-
-
-def _grams(text: Column, by: Callable[[Column], Column] = F.xxhash64) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), lambda g: by(g)))
+def bands(texts: pa.Array) -> np.ndarray:
+    """(BANDS, texts) bucket keys of texts of at least GRAM characters, from the least hashes of their 5-grams under each order."""
+    data, ends = text_bytes(texts)
+    code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)[ends - 1] if len(ends) else []]).astype(np.int64)
+    out = np.empty((BANDS, len(texts)), np.uint64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, "right")) - 1)
+        c = code[ends[at] : ends[to]].astype(np.uint64)
+        n = len(c) - GRAM + 1
+        h = c[:n].copy()
+        for k in range(1, GRAM):
+            h *= STIR[0]
+            h += c[k : k + n]
+        h *= STIR[1]
+        g = (h >> np.uint64(32)).astype(np.uint32)
+        g ^= g >> np.uint32(15)
+        start = ends[at:to] - ends[at]
+        # A text's last grams run on into the next one: they are taken for its first, which changes no least hash.
+        last = np.arange(1, GRAM)[None, :]
+        over = ((ends[at + 1 : to] - ends[at])[:, None] - last).ravel()
+        g[over] = np.repeat(g[start[:-1]], GRAM - 1)
+        least = [np.minimum.reduceat(g * a, start).astype(np.uint64) for a in ORDERS]
+        for k in range(BANDS):
+            key = np.full(to - at, k + 1, np.uint64)
+            for x in least[k * ROWS : (k + 1) * ROWS]:
+                key = (key + x) * STIR[0]
+                key ^= key >> np.uint64(29)
+                key *= STIR[1]
+            out[k, at:to] = key
+        at = to
+    return out
+
+
+def _signatures(lines: DataFrame, least_chars: int) -> DataFrame:
+    """(node, n, b0, b1, ...) of every distinct line, with n its occurrences; bands of too short lines are null."""
+    names = [f"b{k}" for k in range(BANDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            node, first, n = np.unique(batch.column(0).to_numpy(), return_index=True, return_counts=True)
+            texts = batch.column(1).take(pa.array(first))
+            long = pc.fill_null(pc.greater_equal(pc.utf8_length(texts), max(least_chars, GRAM)), False).to_numpy(zero_copy_only=False)
+            found = np.zeros((BANDS, len(node)), np.int64)
+            found[:, long] = bands(texts.filter(pa.array(long))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), *(pa.array(x, mask=~long) for x in found)], names=["node", "n", *names])
+
+    rows = lines.select("node", "norm").mapInArrow(run, ", ".join(f"{x} long" for x in ["node", "n", *names]))
+    return rows.groupBy("node").agg(F.sum("n").alias("n"), *[F.max(x).alias(x) for x in names])
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), lambda g: F.xxhash64(g)))
 
 
 def _alike(g: Column, h: Column, similar: float) -> Column:
@@ -61,51 +117,75 @@ def _alike(g: Column, h: Column, similar: float) -> Column:
     return (F.least(F.size(g), F.size(h)) >= similar * F.greatest(F.size(g), F.size(h))) & (common >= similar * (F.size(g) + F.size(h) - common))
 
 
-def line_places(docs: DataFrame, least_chars: int = LEAST_CHARS, similar: float = SIMILAR) -> DataFrame:
+def grams(text: str) -> set[str]:
+    return {text[k : k + GRAM] for k in range(len(text) - GRAM + 1)}
+
+
+def alike(x: str, y: str, similar: float) -> bool:
+    a, b = grams(x), grams(y)
+    if min(len(a), len(b)) < similar * max(len(a), len(b)):
+        return False
+    common = len(a & b)
+    return common >= similar * (len(a) + len(b) - common)
+
+
+def line_places(docs: DataFrame, least_chars: int = LEAST_CHARS, similar: float = SIMILAR, short_exact: bool = False) -> DataFrame:
     """(doc_id, text_hash, pos, class) of the lines that occur more than once or are near duplicates of others."""
-    lines = _lines(docs, least_chars)
-    one = cut(_signatures(lines))
-    rows = one.select("node", F.explode("bands").alias("key"))
-    many = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    buckets = cut(join_sized(rows, many, ["key"], "inner", many.count(), FETCH_ROWS))
-    wanted = buckets.select("node", F.lit(True).alias("wanted")).distinct()
+    lines = _lines(docs, 1 if short_exact else least_chars)
+    one = cut(_signatures(lines, least_chars))
+    rows = one.where("b0 is not null").select("node", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("key"))
+    # Only (key, node) is shuffled; a bucket of two lines is a pair as it stands.
+    by = cut(rows.repartition("key").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"))
+    pairs = cut(by.where("n = 2").select("a", "b").distinct())
+    many = by.where("n > 2").select("key", "n")
+    crowd = cut(join_sized(rows, many, ["key"], "inner", many.count(), FETCH_ROWS))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct().select("node", F.lit(True).alias("wanted"))
     wanted = cut(one.where("n > 1").select("node").join(wanted, "node", "full").select("node", F.coalesce("wanted", F.lit(False)).alias("wanted")))
     # The only place where lines are read again; texts come along where they are to be compared.
     found = join_sized(lines, wanted, ["node"], "inner", wanted.count(), FETCH_ROWS)
     found = cut(found.select("doc_id", "text_hash", "pos", "node", "wanted", F.when(F.col("wanted"), F.col("norm")).alias("norm")))
     texts = cut(found.where("wanted").groupBy("node").agg(F.max("norm").alias("norm")))
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [alike(x, y, similar) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
-        return both.select("a", "b", _grams(F.col("x")).alias("g"), _grams(F.col("y")).alias("h")).where(_alike(F.col("g"), F.col("h"), similar)).select("a", "b")
+        return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
-    # In crowded buckets many rows carry their sets, so there the hashes have 32 bits.
-    attach = lambda x: x.join(texts.select("node", _grams(F.col("norm"), F.hash).alias("grams")), "node")
+    attach = lambda x: x.join(texts.select("node", _grams(F.col("norm")).alias("grams")), "node")
     holds = lambda left, right: _alike(F.col(f"{left}.grams"), F.col(f"{right}.grams"), similar)
-    links = link_buckets(buckets, verify, attach=attach, holds=holds, hot=2, rounds=4, counted=True)
+    links = link_buckets(crowd, verify, attach=attach, holds=holds, counted=True, pairs=pairs)
     parts = cut(components(links))
     places = join_sized(found.drop("norm", "wanted"), parts, ["node"], "left", parts.count(), FETCH_ROWS)
     return places.select("doc_id", "text_hash", "pos", F.coalesce("component", "node").alias("class"))
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, similar: float = SIMILAR) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, similar: float = SIMILAR, short_exact: bool = False, counts: bool = True) -> DataFrame:
     """The rows of docs, all columns, with text without the lines that repeat an earlier one, and `lines`, `dropped_lines`.
 
     Of a class of near-equal lines the first stays, by doc_id (null first), then text hash, then place in the text.
     Texts are cut at line feeds; a text of which all lines go becomes empty, and the row stays; null stays null, with
-    0 lines. Rows with equal doc_id and text are one document here and share its outcome. Columns of docs named lines
-    or dropped_lines are replaced. An empty table gives an empty result.
+    0 lines. Lines of fewer than least_chars characters stay, or, with short_exact, go where they equal an earlier one; blank
+    lines always stay. Rows with equal doc_id and text are one document here and share its outcome. Where docs has columns named lines or
+    dropped_lines, those stay as they are and the counts' names get underscores; counts=False adds none. An empty table
+    gives an empty result.
     """
-    places = cut(line_places(docs, least_chars, similar))
+    places = cut(line_places(docs, least_chars, similar, short_exact))
     place = F.struct("doc_id", "text_hash", "pos")
-    firsts = places.groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("class", "first")
-    gone = places.join(firsts, "class").where(place != F.col("first")).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_gone"))
-    rows = docs.drop("lines", "dropped_lines")
-    d, h, g = unused(rows, "_doc", "_hash", "_gone")
+    firsts = cut(places.groupBy("class").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("class", "first"))
+    gone = join_hot(places, firsts, "class", F.xxhash64("doc_id", "text_hash", "pos"), firsts.count()).where(place != F.col("first"))
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_gone"))
+    d, h, g, n, dropped = unused(docs, "_doc", "_hash", "_gone", "lines", "dropped_lines")
     gone = gone.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("_gone").alias(g))
-    rows = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(rows["text"]) == F.col(h)), "left")
+    rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
     split = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), g)
     text = F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
-    rows = rows.withColumn("lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split))).withColumn("dropped_lines", F.when(F.col(g).isNull(), 0).otherwise(F.size(g)))
+    if counts:
+        rows = rows.withColumn(n, F.when(F.col("text").isNull(), 0).otherwise(F.size(split))).withColumn(dropped, F.when(F.col(g).isNull(), 0).otherwise(F.size(g)))
     return rows.withColumn("text", text).drop(d, h, g)

@@ -8,18 +8,25 @@ a word or a paragraph says so, so an edit moves no other boundary.
 from __future__ import annotations
 
 import hashlib
+from base64 import urlsafe_b64encode
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from typing import TYPE_CHECKING
 from zlib import crc32
 
-import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, join_sized
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
+#: Characters of a leaf's code in a fingerprint; the hashes above the leaves are made from whole hashes.
+CODE = 4
 #: Words in a leaf and paragraphs in a section, on average.
 LEAF_WORDS, SECTION_PARAGRAPHS = 4, 4
 #: Documents between two cuts of the sorted ids, about, and the most cuts.
@@ -32,66 +39,67 @@ def _hash(data: bytes, size: int = 8) -> bytes:
 
 @dataclass
 class Tree:
-    """Hashes of the root, the sections, each section's paragraphs, and the characters in leaves of each hash."""
+    """Hash of the root, and for each section the codes of its paragraphs' leaves: all of it is in the fingerprint."""
 
     root: str
-    sections: list[bytes]
-    paragraphs: list[list[bytes]]
-    leaves: Counter
-    size: int
+    sections: list[list[str]]
 
     @property
     def fingerprint(self) -> str:
-        return f"{self.root}:{b''.join(self.sections).hex()}"
+        """root:section|section..., a section's paragraphs set apart by commas, a paragraph being its leaves' codes, CODE characters each."""
+        return f"{self.root}:{'|'.join(map(','.join, self.sections))}"
+
+    @classmethod
+    def read(cls, fingerprint: str) -> Tree:
+        root, _, body = fingerprint.partition(":")
+        return cls(root, [x.split(",") for x in body.split("|")] if body else [])
+
+    @cached_property
+    def leaves(self) -> Counter:
+        return Counter(p[k : k + CODE] for s in self.sections for p in s for k in range(0, len(p), CODE))
 
 
 def tree(text: str) -> Tree:
-    leaves: Counter = Counter()
     sections: list[bytes] = []
-    paragraphs: list[list[bytes]] = [[]]
-    size = 0
+    codes: list[list[str]] = []
+    paragraphs: list[bytes] = []
     *whole, last = text.encode().split(b"\n")
     for line in [*(x + b"\n" for x in whole), *([last] if last else [])]:
         own, start, at = [], 0, 0
         for word in line.split(b" "):
             at += len(word) + 1
             if crc32(word) % LEAF_WORDS == 0 and at < len(line):
-                own.append(line[start:at])
+                own.append(_hash(line[start:at]))
                 start = at
         if start < len(line):
-            own.append(line[start:])
-        hashes = []
-        for leaf in own:
-            h = _hash(leaf)
-            hashes.append(h)
-            leaves[h] += len(leaf)
-            size += len(leaf)
-        paragraph = _hash(b"p" + b"".join(hashes))
-        paragraphs[-1].append(paragraph)
-        if paragraph[0] % SECTION_PARAGRAPHS == 0:
-            sections.append(_hash(b"s" + b"".join(paragraphs[-1])))
-            paragraphs.append([])
-    if paragraphs[-1]:
-        sections.append(_hash(b"s" + b"".join(paragraphs[-1])))
-    else:
-        paragraphs.pop()
-    return Tree(_hash(b"r" + b"".join(sections), 16).hex(), sections, paragraphs, leaves, size)
+            own.append(_hash(line[start:]))
+        if not paragraphs:
+            codes.append([])
+        paragraphs.append(_hash(b"p" + b"".join(own)))
+        codes[-1].append(urlsafe_b64encode(b"".join(x[: CODE * 3 // 4] for x in own)).decode())
+        if paragraphs[-1][0] % SECTION_PARAGRAPHS == 0:
+            sections.append(_hash(b"s" + b"".join(paragraphs)))
+            paragraphs = []
+    if paragraphs:
+        sections.append(_hash(b"s" + b"".join(paragraphs)))
+    return Tree(_hash(b"r" + b"".join(sections), 16).hex(), codes)
 
 
 def likeness(a: Tree, b: Tree) -> float:
-    """1 for equal roots; else the share of both texts' bytes that lies in leaves found in the other, 0 to 1."""
+    """1 for equal roots; else the share of both trees' leaves that are found in the other, from 0 to less than 1."""
     if a.root == b.root:
         return 1.0
     few, many = (a.leaves, b.leaves) if len(a.leaves) <= len(b.leaves) else (b.leaves, a.leaves)
-    return min(1.0, 2 * sum(min(n, many[h]) for h, n in few.items() if h in many) / (a.size + b.size))
+    size = few.total() + many.total()
+    return min(1 - 1 / size, 2 * sum(min(n, many[h]) for h, n in few.items() if h in many) / size)
 
 
 def differences(a: Tree, b: Tree) -> list[int]:
     """Paragraphs of a (from 0) whose branches b lacks; sections found whole in b are passed over."""
-    have, lines = set(b.sections), {x for some in b.paragraphs for x in some}
+    have, lines = set(map(tuple, b.sections)), {x for some in b.sections for x in some}
     out, at = [], 0
-    for section, some in zip(a.sections, a.paragraphs, strict=True):
-        if section not in have:
+    for some in a.sections:
+        if tuple(some) not in have:
             out += [at + k for k, x in enumerate(some) if x not in lines]
         at += len(some)
     return out
@@ -134,11 +142,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     last; a single row is its own next. An empty table gives an empty result.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()]
+        names = [x.split()[0] for x in schema.split(", ")]
         block = held = None
-        for part in parts:
+        for batch in batches:
             out = []
-            for at, edge, doc, text in zip(part["block"], part["edge"], part["doc_id"], part["text"], strict=True):
+            for at, edge, doc, text in zip(*(batch.column(x).to_pylist() for x in ("block", "edge", "doc_id", "text")), strict=True):
                 if at == block and held is None:
                     continue  # another copy of the row at the edge
                 own = tree(text)
@@ -148,10 +160,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     edited = was[: n - n // 2] + text[: n // 2]
                     other = tree(edited)
                     out.append((doc_was, n, hashlib.sha256(edited.encode()).hexdigest(), tree_was.fingerprint, other.fingerprint, likeness(tree_was, other), likeness(tree_was, own), len(differences(tree_was, other))))
-                block, held = at, None if edge else (None if pd.isna(doc) else int(doc), text, own)
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                block, held = at, None if edge else (doc, text, own)
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_paragraphs long"
-    return in_order(docs).mapInPandas(run, schema)
+    return in_order(docs).mapInArrow(run, schema)

@@ -38,15 +38,34 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCHEMAS = {"reply": {"prompt": "string", "chars": "integer", "language": "string?"}, "configure": {"instructions": "string"}}
 
 
-def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of users and the system as calls that depend on the call two turns before, assistants' turns as results of the turn before."""
-    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+def tool_calls(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results made of every row of conversations; a hash of conversation and turn deals out the faults.
+
+    An assistant's turn is the result of the turn before; of 16, one is the result of the turn after, and one of a call that
+    there isn't. Any other turn, whatever its role, is a call: of 4, two need the call two turns before, one that two turns
+    after, and one none; of 16, one each has a number as text, no prompt, one more argument, or no JSON.
+    """
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    deal = F.crc32(F.concat_ws(":", "conv_id", "turn").cast("binary"))
+    rows = rows.withColumn("fault", F.pmod(deal, F.lit(16))).withColumn("need", F.pmod(F.floor(deal / 16), F.lit(4)))
     name = lambda back: F.concat(F.lit("t"), (F.col("turn") - back).cast("string"))
-    prompt = F.to_json(F.struct(F.col("text").alias("prompt"), F.length("text").alias("chars")))
-    rules = F.to_json(F.struct(F.col("text").alias("instructions")))
-    calls = rows.where("role in ('user', 'system')").select("conv_id", name(0).alias("call_id"), "turn", F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"), F.when(F.col("role") == "user", prompt).otherwise(rules).alias("arguments"), F.array(name(2)).alias("after"))
-    results = rows.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return chat.link_tools(calls, results, SCHEMAS)
+    text, chars, fault = F.col("text"), F.length("text"), F.col("fault")
+    # A null text gives a null prompt, which JSON leaves out.
+    prompt = F.when(fault == 0, F.to_json(F.struct(text.alias("prompt"), chars.cast("string").alias("chars"))))
+    prompt = prompt.when(fault == 1, F.to_json(F.struct(chars.alias("chars")))).when(fault == 2, F.to_json(F.struct(text.alias("prompt"), chars.alias("chars"), F.col("turn"))))
+    prompt = prompt.when(fault == 3, text).otherwise(F.to_json(F.struct(text.alias("prompt"), chars.alias("chars"))))
+    rules = F.to_json(F.struct(text.alias("instructions")))
+    tool = F.when(F.col("role") == "user", "reply").when(F.col("role") == "system", "configure").otherwise(F.col("role"))
+    after = F.when(F.col("need") <= 1, F.array(name(2))).when(F.col("need") == 2, F.array(name(-2)))
+    says = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    calls = rows.where(~says).select("conv_id", name(0).alias("call_id"), "turn", tool.alias("name"), F.when(F.col("role") == "system", rules).otherwise(prompt).alias("arguments"), after.alias("after"))
+    of = F.when(fault == 0, name(-1)).when(fault == 1, F.concat(F.lit("x"), name(0))).otherwise(name(1))
+    return calls, rows.where(says).select("conv_id", of.alias("call_id"), "turn", F.col("text").alias("content"))
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, orders and validates what tool_calls makes of all conversations."""
+    return chat.link_tools(*tool_calls(_table(spark, sf_dir, "conversations")), SCHEMAS)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: ASCII white space, the only characters that separate words here.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,10 +21,13 @@ BROADCAST_ROWS = 20_000
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset a temporary one on one machine, an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return context.getCheckpointDir()
 
 
@@ -41,6 +49,46 @@ def join_sized(df: DataFrame, side: DataFrame, on: list[str] | Column, how: str,
     return df.join(F.broadcast(side) if rows <= most else side, on, how)
 
 
+def join_hot(df: DataFrame, side: DataFrame, on: str, spread: Column, rows: int, salts: int = 32) -> DataFrame:
+    """Join with a side of one row for each key, where one key may hold a third of df: broadcast while that is small, else salted.
+
+    spread: a hash of what tells df's rows apart; it deals a key's rows to so many tasks, and the side is repeated for each.
+    """
+    if rows <= BROADCAST_ROWS:
+        return df.join(F.broadcast(side), on)
+    (salt,) = unused(df, "_salt")
+    many = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn(salt, F.pmod(spread, F.lit(salts)).cast("int")).join(many, [on, salt]).drop(salt)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts, one after the other, and where each ends in them; null is empty."""
+    import pyarrow as pa
+
+    plain = texts.fill_null("").cast(pa.large_string())
+    _, ends, data = plain.buffers()
+    ends = np.frombuffer(ends, np.int64)[plain.offset : plain.offset + len(plain) + 1] if len(plain) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends[1:] - ends[0]
+
+
+def with_texts(docs: DataFrame, start: Callable[[], Callable[[list[str | None]], list[pa.Array]]], schema: str) -> DataFrame:
+    """doc_id long of every row of docs, and columns made of its whole text, as schema says.
+
+    start gives a task its function from a batch's texts to the columns. doc_id never leaves Arrow, so a null beside it
+    doesn't round ids beyond 2^53.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        make = start()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *make(batch.column(1).to_pylist())], names=["doc_id", *[x.split()[0] for x in schema.split(", ")]])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {schema}")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges between longs, as (node, component) with the smallest node as component.
 
@@ -65,6 +113,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def keep_firsts(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of docs that stay when each component of texts keeps its first, by doc_id (null last), then text hash.
+
+    parts: (node, component), node being xxhash64 of a text; texts that it lacks are components of their own. Rows that
+    repeat doc_id and text of one that stays, stay too: they can't be told from it.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    one = rows.groupBy("node").agg(F.min(order).alias("first")).join(parts, "node", "left")
+    firsts = one.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
+    d, h = unused(docs, "_doc", "_hash")
+    firsts = firsts.select(F.col("first.doc_id").alias(d), F.col("first.node").alias(h))
+    return docs.join(firsts, docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left_semi")
+
+
 def link_buckets(
     rows: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
@@ -74,13 +137,15 @@ def link_buckets(
     hot: int = 16,
     rounds: int = 4,
     counted: bool = False,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Edges (a, b) whose components are those of all verified pairs that share a bucket.
 
     rows: (key, node long, ...), one row for each bucket that a node is in; counted: they have their bucket's size n, are
     of buckets with more than one row, and are cheap to read again. verify: keeps the pairs (a, b) that hold. where: a
     condition on two rows, given their aliases, that a pair meets in at least one of its shared buckets. holds: the
-    whole verification as such a condition (where, if that is one), on rows with what attach adds.
+    whole verification as such a condition (where, if that is one), on rows with what attach adds. pairs: those of buckets
+    that rows leaves out; the others are then all crowded.
 
     Buckets of at most hot nodes are joined with themselves. Larger ones never give all their pairs: in each of a few
     rounds every node is compared with one hub of its bucket; afterwards, in buckets that still hold two components, the
@@ -90,10 +155,12 @@ def link_buckets(
     if not counted:
         rows = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     ends = lambda x: x.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    some = rows.where(F.col("n") <= hot).drop("n")
-    cold = some.alias("l").join(some.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")))
-    pairs = ends(cold if where is None else cold.where(where("l", "r")))
-    crowd = cut(rows.where(F.col("n") > hot).drop("n"))
+    if pairs is None:
+        some = rows.where(F.col("n") <= hot).drop("n")
+        cold = some.alias("l").join(some.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")))
+        pairs = ends(cold if where is None else cold.where(where("l", "r")))
+        rows = rows.where(F.col("n") > hot)
+    crowd = cut(rows.drop("n"))
     if crowd.isEmpty():
         return cut(verify(pairs))
     for k in range(rounds):

@@ -15,16 +15,20 @@ the second in a bucket (equal segment, common neighbour of the next). So no link
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate, combinations
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, link_buckets, unused
+from .shared import components, cut, join_hot, keep_firsts, link_buckets, with_texts
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 #: Generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -118,12 +122,12 @@ def simhash(text: str | None, shingle: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp long) of every row; texts are read whole."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            fps = np.array([simhash(x, shingle) for x in part["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "fp": fps.view(np.int64)})
+    def start() -> Callable[[list[str | None]], list[pa.Array]]:
+        import pyarrow as pa
+
+        return lambda texts: [pa.array(np.array([simhash(x, shingle) for x in texts], np.uint64).view(np.int64))]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return with_texts(docs, start, "fp long")
 
 
 def _bucket_rows(fps: DataFrame) -> DataFrame:
@@ -150,6 +154,15 @@ def _once(left: str, right: str, most: int) -> Column:
     return (F.bit_count(apart) <= most) & any_case
 
 
+def _linked(fps: DataFrame, most: int) -> DataFrame:
+    """(fp, component) of the distinct fingerprints that are linked to others."""
+    if not 0 <= most <= 4:
+        raise ValueError("the bucket scheme finds links of at most 4 differing bits")
+    holds = lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
+    edges = link_buckets(_bucket_rows(fps), holds, lambda left, right: _once(left, right, most))
+    return cut(components(edges).withColumnRenamed("node", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     """Every row of docs (doc_id, text) as (doc_id, fingerprint, component_id).
 
@@ -158,24 +171,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     like any other. Repeated rows each come back. A null doc_id comes back null, and is never a component_id unless a
     component holds nothing else. An empty table gives an empty result.
     """
-    if not 0 <= most <= 4:
-        raise ValueError("the bucket scheme finds links of at most 4 differing bits")
     rows = cut(fingerprints(docs, shingle))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    holds = lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
-    edges = link_buckets(_bucket_rows(fps), holds, lambda left, right: _once(left, right, most))
-    part = components(edges).withColumnRenamed("node", "fp")
-    linked = fps.join(part, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = linked.join(least, "component").select("fp", "component_id")
+    part = _linked(fps, most)
+    linked = fps.join(part, "fp")
+    least = cut(linked.groupBy("component").agg(F.min("first").alias("component_id")))
+    some = join_hot(linked.select("fp", "component"), least, "component", F.xxhash64("fp"), least.count()).select("fp", "component_id")
+    ids = fps.join(part, "fp", "left_anti").select("fp", F.col("first").alias("component_id")).union(some)
     return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
-    """The rows of docs that stay when each component keeps the row with its smallest doc_id.
+    """The rows of docs that stay when each component keeps its first text, by doc_id (null last), then text hash.
 
-    Rows that repeat that doc_id stay too; rows without a doc_id stay if any component has no other.
+    Rows that repeat doc_id and text of one that stays, stay too: they can't be told from it.
     """
-    (first,) = unused(docs, "_first")
-    firsts = near_duplicates(docs, shingle, most).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
-    return docs.join(firsts, docs["doc_id"].cast("long").eqNullSafe(F.col(first)), "left_semi")
+    signed = cut(fingerprints(docs.select(F.xxhash64("text").alias("doc_id"), "text"), shingle).distinct())
+    part = signed.join(_linked(signed.select("fp").distinct(), most), "fp", "left")
+    return keep_firsts(docs, part.select(F.col("doc_id").alias("node"), F.coalesce("component", "fp").alias("component")))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, with_texts
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 #: Labelled documents of each class read to fit, at most: those with the smallest hashes.
 SAMPLE = 4000
@@ -21,7 +25,7 @@ FEATURES = 2000
 #: Tasks that read the sample.
 PARTS = 24
 #: Distinct words remembered for reuse by one task.
-MEMORY = 300_000
+MEMORY = 100_000
 
 
 def grams(word: str) -> set[str]:
@@ -146,17 +150,22 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Every row of docs (doc_id, text), read whole, as (doc_id, score, predicted); null counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list[str | None]], list[pa.Array]]:
+        import pyarrow as pa
+
         memory: dict[str, tuple[str, ...]] = {}
-        for part in parts:
-            s = [shared.value.score(x, memory) for x in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "score": s, "predicted": [int(x >= threshold) for x in s]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, predicted int")
+        def make(texts: list[str | None]) -> list[pa.Array]:
+            s = [shared.value.score(x, memory) for x in texts]
+            return [pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())]
+
+        return make
+
+    return with_texts(docs, start, "score double, predicted int")
 
 
 def clean_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with all their columns and types."""
+    """The rows of docs that the classifier doesn't reject, as they are, repeated ones each; null counts as empty. An empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator) -> Iterator:
