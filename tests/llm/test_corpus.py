@@ -5,10 +5,11 @@ import json
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, language, merkle, mix, pack, queries, toxicity, warc
+from tidemark.llm import chat, language, merkle, mix, pack, queries, simhash, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,50 +19,133 @@ def test_pack_round_trip(docs, empty, texts):
 
     path = queries.tokenizer_path()
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    want = Counter((r[0], tuple([*library.encode(r[1] or "", add_special_tokens=False).ids, 2])) for r in texts)
-    pieces = pack.pack(docs, path, window=256, with_ids=True).collect()
-    by_sequence = defaultdict(list)
-    for p in pieces:
-        by_sequence[p.sequence_id].append(p)
-        assert p.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in p.ids)) and p.length == len(p.ids)
-    full = 0
-    for own in by_sequence.values():
-        at = 0
-        for p in sorted(own, key=lambda p: p.offset):
-            assert p.offset == at
-            at += p.length
-        full += at == 256
-        assert at <= 256
-    assert full == len(by_sequence) - 1
-    # Pieces of a document put together again; documents of one id are told apart by following starts.
-    got = Counter()
-    by_doc = defaultdict(list)
-    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
-        if p.start == 0:
-            by_doc[p.doc_id].append([])
-        by_doc[p.doc_id][-1].extend(p.ids)
-    for i, found in by_doc.items():
-        for ids in found:
-            got[i, tuple(ids)] += 1
-    assert {i if i == i else None for i, _ in got} >= {i for i, _ in want if i is not None}
-    assert Counter(len(ids) for _, ids in got.elements()) == Counter(len(ids) for _, ids in want.elements())
+    want = Counter((r[0], *library.encode(r[1] or "", add_special_tokens=False).ids, 2) for r in texts)
+    for shard_words in (2000, 10**6):
+        pieces = pack.pack(docs, path, window=256, with_ids=True, shard_words=shard_words).collect()
+        by_sequence = defaultdict(list)
+        for p in pieces:
+            by_sequence[p.sequence_id].append(p)
+            assert p.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in p.ids)) and p.length == len(p.ids)
+        full = 0
+        for own in by_sequence.values():
+            at = 0
+            for p in sorted(own, key=lambda p: p.offset):
+                assert p.offset == at
+                at += p.length
+            full += at == 256
+            assert at <= 256
+        assert full >= len(by_sequence) - len({s >> 32 for s in by_sequence})
+        # Pieces of a document put together again: it goes on at the next window's begin.
+        got, parts = Counter(), []
+        for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+            if p.start == 0:
+                parts.append((p.doc_id, []))
+            assert parts[-1][0] == p.doc_id and len(parts[-1][1]) == p.start
+            parts[-1][1].extend(p.ids)
+        for i, ids in parts:
+            got[i, *ids] += 1
+        assert got == want
     assert pack.pack(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("text", ["I'm don't it's 's.", "a,b a,, ,a 'a', x. .x 1.5 1, é. É, ÉÀ.", "<|endoftext|> x<|endoftext|>.y", " a　b. c, 日本語。 日本語. ΑΣ ΣΑΣ. İstanbul, ́ a ́b ŉ ǆ ǅ ſ ß ª º µ", "abc%%% d'ef!! x|> l'à... a's. b'. c.' “q” e—f… <|endoftext|>", "#$%... ... ., ,. z.. \x1c a\x1db \x85 x"])
+@pytest.mark.parametrize("text", ["I'm don't it's 's.", "a,b a,, ,a 'a', x. .x 1.5 1, é. É, ÉÀ.", "<|endoftext|> x<|endoftext|>.y", "x <|EndOfText|> y <|startoftext|>", " a　b. c, 日本語。 日本語. ΑΣ ΣΑΣ. İstanbul, ́ a ́b ŉ ǆ ǅ ſ ß ª º µ", "abc%%% d'ef!! x|> l'à... a's. b'. c.' “q” e—f… <|endoftext|>", "#$%... ... ., ,. z.. \x1c a\x1db \x85 x", "", " ", "a" * 500 + " b" * 5000])
 def test_tokens_are_the_library_s(text):
-    tokens = pack.Tokens(queries.tokenizer_path())
-    tokens.learn(pack.words(text))
-    assert tokens.ids(pack.words(text)).tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
-
-
-def test_bm25_neighbours():
-    import numpy as np
-
-    bags = [Counter(x.encode().split()) for x in ("red fox runs", "blue whale swims", "red fox sleeps here", "green tree")]
-    index = pack.Index(bags, np.ones(pack.TERMS, np.float32), 3)
-    assert index.neighbours(0, np.array([False, True, True, True])).tolist() == [2]
+    import pyarrow as pa
+
+    mine = pack.Tokens(queries.tokenizer_path())
+    texts = pa.array(["before", text, None, text + "z", "After it"])
+    have = pack.words(texts)
+    got = pack.document_ids(texts, have, *pack.distinct(have), mine, 2)
+    assert [x.tolist() for x in got] == [[*mine.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts.to_pylist()]
+
+
+def brute_bm25(bags: list, seed: int, unused: list) -> list:
+    n, mean = len(bags), sum(sum(x.values()) for x in bags) / len(bags)
+    score = {}
+    for d, bag in enumerate(bags):
+        s = 0.0
+        for t in bags[seed].keys() & bag.keys():
+            df = sum(t in x for x in bags)
+            s += np.log1p((n - df + 0.5) / (df + 0.5)) * bag[t] * 2.2 / (bag[t] + 1.2 * (0.25 + 0.75 * sum(bag.values()) / mean))
+        if unused[d] and s:
+            score[d] = s
+    return sorted(score, key=lambda d: (-round(score[d], 4), d))
+
+
+def test_packing_matches_brute_force():
+    """All neighbours of every seed, more than are sorted at once, and whole windows, against plain BM25 over all terms."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    raw = [" ".join(f"w{min(int(rng.expovariate(0.03)), 400)}" for _ in range(rng.randint(1, 30))) for _ in range(150)] + ["", None]
+    bags = [Counter((x or "").split()) for x in raw]
+    have = pack.words(pa.array(raw))
+    df = np.bincount(np.unique(have.row.astype(np.int64) * pack.TERMS + have.term) % pack.TERMS, minlength=pack.TERMS)
+    assert (df > 0).sum() == len(set().union(*bags))  # no two words share a term here
+    idf = np.log1p((len(raw) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    index = pack.Index(have.row, have.term, len(raw), idf, len(have.start) / len(raw))
+    unused = np.array([k % 7 != 0 for k in range(len(raw))])
+    for seed in range(len(raw)):
+        got = list(index.neighbours(seed, unused))
+        want = brute_bm25(bags, seed, unused)
+        assert set(got) == set(want) and sum(a != b for a, b in zip(got, want, strict=True)) <= 2  # rounding may swap near ties
+    sizes, left, order = np.array([len((x or "").split()) + 1 for x in raw]), [True] * len(raw), []
+    offset, queue = 0, []
+    while any(left):
+        doc, seeds = (queue.pop(0), offset == 0) if queue else (left.index(True), True)
+        left[doc] = False
+        order.append(doc)
+        cut = (offset + sizes[doc]) // 64 > 0
+        offset = (offset + sizes[doc]) % 64
+        queue = [] if not offset else brute_bm25(bags, doc, left) if seeds or cut else [d for d in queue if left[d]]
+    got = [p[0] for p in pack.fill(sizes, index, 64) if p[1] == 0]
+    assert sorted(got) == list(range(len(raw))) and sum(a == b for a, b in zip(got, order, strict=True)) >= 0.9 * len(raw)
+
+
+def test_related_documents_share_a_shard(spark):
+    """Groups that share half of their words are dealt together far more often than by chance, at many shards."""
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}x{k}" for k in range(40)]
+        rows += [(10 * g + k, " ".join(rng.sample(base, 30) + [f"u{g}y{k}z{j}" for j in range(10)] + ["the of and"] * 3)) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    frequency, n, _ = pack.document_frequencies(df)
+    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
+    shard = {r.doc_id: r.shard for r in pack.deal(df, frequency, idf, 600).collect()}
+    assert len(set(shard.values())) >= 30
+    together = sum(shard[10 * g + a] == shard[10 * g + b] for g in range(60) for a in range(10) for b in range(a))
+    assert together >= 0.4 * 60 * 45  # one in fifty by chance
+
+
+LARGE = (1 << 53) + 1
+
+
+def test_ids_beyond_doubles_stay_exact_beside_nulls(spark):
+    rows = [(LARGE, "one two three four five six", "en", "s"), (None, "one two three four five", "en", "s"), (LARGE + 2, "one two three four five six", "fr", "t"), (-LARGE, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    want = {r[0] for r in rows}
+    assert {r.doc_id for r in pack.pack(df, queries.tokenizer_path()).collect()} == want
+    assert {r.doc_id for r in merkle.fingerprints(df).collect()} == want
+    model = language.train(df)
+    assert {r.doc_id for r in language.predict(df, model).collect()} == want
+    assert {r.doc_id for r in language.label_spans(df, model).collect()} == want - {-LARGE}
+    assert {r.doc_id for r in toxicity.score(df, toxicity.train(df, df.select("doc_id", F.lit(1).alias("toxic")))).collect()} == want
+    near = simhash.near_duplicates(df)
+    assert {(r.doc_id, r.component_id) for r in near.collect()} == {(LARGE, LARGE), (LARGE + 2, LARGE), (None, None), (-LARGE, -LARGE)}
+
+
+def test_held_out_follows_the_id(spark, tmp_path):
+    rows = [(LARGE + 2 * k, f"word{k} the and of {k}", "en", "s", 10) for k in range(40)] + [(None, "x y", "en", "s", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, k % 2) for k, r in enumerate(rows[:-1])], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, by, rest in (("op7_language", 3, 1), ("op8_toxicity", 5, 0)):
+        got = {r.doc_id: r.held_out for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {r[0]: r[0] is not None and zlib.crc32(str(r[0]).encode()) % by == rest for r in rows}
 
 
 def water(sizes: dict, share: float) -> dict:
@@ -169,6 +253,32 @@ def test_merkle(docs, empty, texts):
     assert merkle.fingerprints(empty).count() == 0
     a, b = merkle.tree("one\ntwo\nthree\n"), merkle.tree("one\n2\nthree\n")
     assert merkle.differences(a, b) == [1] and merkle.likeness(a, a) == 1.0 and 0 < merkle.likeness(a, b) < 1
+    # The fingerprints alone give likeness and differences.
+    for x in (a, b, merkle.tree("")):
+        assert merkle.Tree.read(x.fingerprint) == x
+    after = {r.doc_id: by_id[n] for r, n in ((by_id[x[0]], order[order.index(x[0]) + 1]) for x in plain[:-1])}
+    for r in (by_id[x[0]] for x in plain[:-1]):
+        t, e, nxt = (merkle.Tree.read(x) for x in (r.fingerprint, r.edited_fingerprint, after[r.doc_id].fingerprint))
+        assert r.near_edited == merkle.likeness(t, e) and r.near_next == merkle.likeness(t, nxt)
+        assert r.edited_paragraphs == len(merkle.differences(t, e))
+
+
+def test_merkle_tree_by_hand():
+    """Every byte in one leaf, leaves in order, hashed level by level; reordered leaves are another text."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        text = "".join(rng.choice(list("ab é\n"), 400))
+        t = merkle.tree(text)
+        lines = [x + "\n" for x in text.split("\n")[:-1]] + ([text.split("\n")[-1]] if text.split("\n")[-1] else [])
+        assert sum(map(len, t.sections)) == len(lines)
+        leaves = 0
+        for line in lines:
+            words = line.encode().split(b" ")
+            leaves += 1 + sum(zlib.crc32(w) % merkle.LEAF_WORDS == 0 for w in words[:-1])
+            leaves -= line.endswith(" ") and zlib.crc32(words[-2]) % merkle.LEAF_WORDS == 0
+        assert t.leaves.total() == leaves
+    x, y = merkle.tree("one\ntwo\n"), merkle.tree("two\none\n")
+    assert x.root != y.root and 0.5 < merkle.likeness(x, y) < 1
 
 
 def test_language(spark, empty):
@@ -200,8 +310,6 @@ def test_language_fast_path_is_the_best_path(spark):
         e, _ = model.scores(words)
         value = e[0].copy()
         for k in range(1, len(e)):
-            import numpy as np
-
             value = np.maximum(value, value.max() - language.SWITCH) + e[k]
         path, _ = model.label(words)
         own = sum(e[k, p] for k, p in enumerate(path)) - language.SWITCH * sum(a != b for a, b in zip(path, path[1:], strict=False))
@@ -225,8 +333,7 @@ def test_toxicity(spark, docs, empty):
 def test_registered_queries_and_pipeline(spark):
     import corpus_pipeline
 
-    for name in ("op3_tool_calls", "op5_warc_archive"):
-        assert queries.QUERIES[name](spark, SF).count() > 0
+    assert queries.QUERIES["op5_warc_archive"](spark, SF).count() > 0
     before = spark.read.parquet(f"{SF}/documents.parquet")
     kept = before
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -37,7 +37,7 @@ DENSE = 0.1
 #: Rows of a batch looked at together where texts pass through.
 ROWS = 2000
 #: Bytes hashed at once, and the multipliers of two independent hashes of a word.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Marks that end words here; a run of them is one piece to the tokenizer. The apostrophe isn't among them: it may begin a piece.
 MARKS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != ord("'"))
@@ -107,7 +107,8 @@ def words(texts: pa.Array) -> Words:
     # Two texts that follow each other without white space are two words.
     step = np.diff(inside)
     joint = ends[(ends > 0) & (ends < len(data))]
-    joint = np.unique(joint[(inside[joint] == 1) & (inside[joint + 1] == 1)])
+    joint = joint[(inside[joint] == 1) & (inside[joint + 1] == 1)]
+    joint = joint[np.append(True, joint[1:] != joint[:-1])[: len(joint)]]  # empty texts end where the one before does
     short = np.int32 if len(data) < 1 << 31 else np.int64
     start, end = (np.concatenate([np.flatnonzero(step == k).astype(short), joint.astype(short)]) for k in (1, -1))
     if len(joint):
@@ -287,12 +288,6 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
 
 
-@cache
-def tokens(path: str) -> Tokens:
-    """One for each Python worker, which Spark uses again for the next tasks: the file's tables alone, nothing of the texts."""
-    return Tokens(path)
-
-
 def document_ids(texts: pa.Array, have: Words, first: np.ndarray, code: np.ndarray, mine: Tokens, end: int) -> list[np.ndarray]:
     """Token ids of every text and then `end`."""
     ids, at = mine.encode(have.data, have.start[first], have.end[first])
@@ -325,7 +320,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
             for part in slices(batch.column(0)):
                 have = words(part)
                 n, total = n + len(part), total + len(have.start)
-                count += np.bincount(np.unique(have.row.astype(np.int64) * TERMS + have.term) % TERMS, minlength=TERMS)
+                pair = np.sort(have.row.astype(np.int64) * TERMS + have.term)
+                count += np.bincount(pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]] % TERMS, minlength=TERMS)
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2]])), pa.array(np.concatenate([count[some], [n, total]]))], names=["term", "n"])
 
@@ -486,6 +482,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = 4096, with
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     mean = total / max(n, 1)
+    held: list[Tokens] = []  # a task unpickles its own, so the tokenizer's tables go when the task ends
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def run(part: pa.Table) -> pa.Table:
@@ -495,7 +492,9 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = 4096, with
         texts, shard = part.column("text").combine_chunks(), part.column("shard")[0].as_py()
         have = words(texts)
         first, code = distinct(have)
-        ids = document_ids(texts, have, first, code, tokens(tokenizer), end)
+        if not held:
+            held.append(Tokens(tokenizer))
+        ids = document_ids(texts, have, first, code, held[0], end)
         sizes = np.array([len(x) for x in ids])
         pieces = np.array(fill(sizes, Index(have.row, have.term, len(texts), shared.value, mean), window), np.int64).reshape(-1, 5)
         doc, start, length, sequence, offset = pieces.T

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -147,9 +148,9 @@ def link_buckets(
     whole verification as such a condition (where, if that is one), on rows with what attach adds. pairs: those of buckets
     that rows leaves out; the others are then all crowded.
 
-    Buckets of at most hot nodes are joined with themselves. Larger ones never give all their pairs: in each of a few
-    rounds every node is compared with one hub of its bucket; afterwards, in buckets that still hold two components, the
-    nodes outside the largest are compared with the nodes of other components. A pair within one component could not
+    Buckets of at most hot nodes are joined with themselves. Larger ones never give all their pairs: every node is
+    compared with one hub of its bucket, then, in buckets that still hold two components, with a few more hubs of other
+    components, and at last the nodes outside the largest with the nodes of other components. A pair within one component could not
     change the components, so nothing is lost and no bucket is capped.
     """
     if not counted:
@@ -163,14 +164,23 @@ def link_buckets(
     crowd = cut(rows.drop("n"))
     if crowd.isEmpty():
         return cut(verify(pairs))
-    for k in range(rounds):
-        hubs = crowd.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("hub"))
-        pairs = pairs.union(crowd.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
-    near = cut(verify(pairs.distinct()))
-    placed = cut(crowd.join(components(near), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
-    parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("part", F.struct("n", "part")).alias("main")).where("k > 1").drop("k")
-    placed = cut(placed.join(mixed, "key"))
+    hub = lambda rows, k: rows.groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]), F.xxhash64("node", F.lit(k))).alias("hub"))
+    spokes = lambda rows: rows.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    near = cut(verify(pairs.union(spokes(crowd.join(hub(crowd, 0), "key").where("node <> hub.node"))).distinct()))
+
+    def place(near: DataFrame) -> DataFrame:
+        """The rows of crowded buckets that hold more than one component, with their component (part) and the bucket's largest (main)."""
+        placed = cut(crowd.join(components(near), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
+        parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+        mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("part", F.struct("n", "part")).alias("main")).where("k > 1").drop("k")
+        return cut(placed.join(mixed, "key"))
+
+    placed = place(near)
+    if placed.isEmpty():
+        return near
+    more = [spokes(placed.join(hub(placed, k), "key").where("part <> hub.part")) for k in range(1, rounds)]
+    near = cut(near.union(verify(reduce(DataFrame.union, more).distinct())))
+    placed = place(near)
     placed = placed if attach is None else attach(placed)
     apart = (F.col("l.part") != F.col("r.part")) & ((F.col("r.part") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
     if holds:
