@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, join_hot, join_sized, link_buckets, text_bytes, unused
+from .shared import bucket_components, cut, join_hot, join_sized, text_bytes, unused
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -36,7 +36,7 @@ SIMILAR = 0.8
 #: Rows of one or two longs that may be broadcast; more are joined by a shuffle.
 FETCH_ROWS = 500_000
 #: Rows of a batch looked at together, and pairs compared together.
-ROWS_AT_ONCE, PAIRS_AT_ONCE = 2000, 4096
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 500, 1024
 #: Characters put under all orders at once.
 BLOCK = 1 << 16
 #: An order of 32-bit hashes is the product with one of these odd numbers.
@@ -229,8 +229,7 @@ def line_places(docs: DataFrame, least_chars: int = LEAST_CHARS, similar: float
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
-    links = link_buckets(crowd, verify, counted=True, pairs=pairs)
-    parts = cut(components(links))
+    parts = bucket_components(crowd, verify, counted=True, pairs=pairs)
     places = join_sized(found.drop("norm", "wanted"), parts, ["node"], "left", parts.count(), FETCH_ROWS)
     return places.select("doc_id", "text_hash", "pos", F.coalesce("component", "node").alias("class"))
 

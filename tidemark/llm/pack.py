@@ -28,14 +28,14 @@ if TYPE_CHECKING:
 TERM_BITS = 18
 TERMS = 1 << TERM_BITS
 #: Words in one shard, about; a shard's index and token ids are held by one task.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 #: Neighbours that are sorted at once; the others are sorted when those are used up.
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 #: A term that so large a share of a shard's documents has is kept as a column, not as postings.
 DENSE = 0.1
 #: Rows of a batch looked at together where texts pass through.
-ROWS = 2000
+ROWS = 500
 #: Bytes hashed at once, and the multipliers of two independent hashes of a word.
 BLOCK = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)

@@ -129,7 +129,23 @@ def keep_firsts(docs: DataFrame, parts: DataFrame) -> DataFrame:
     return docs.join(firsts, docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left_semi")
 
 
-def link_buckets(
+def merged(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, component) after more edges (a, b), of which only those between components are followed."""
+    of = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}c"))
+    e = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    e = cut(e.select("a", "b", F.coalesce("ac", "a").alias("ac"), F.coalesce("bc", "b").alias("bc")).where("ac <> bc"))
+    up = components(e.select(F.col("ac").alias("a"), F.col("bc").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("up"))
+    new = e.select(F.col("a").alias("node"), F.col("ac").alias("component")).union(e.select("b", "bc")).where("node = component").distinct()
+    every = parts.union(new.join(parts.select("node"), "node", "left_anti"))
+    return cut(every.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+
+
+def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
+    """Edges (a, b), a star for each component of bucket_components."""
+    return bucket_components(rows, verify, **how).where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
+def bucket_components(
     rows: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     where: Callable[[str, str], Column] | None = None,
@@ -140,7 +156,7 @@ def link_buckets(
     counted: bool = False,
     pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """Edges (a, b) whose components are those of all verified pairs that share a bucket.
+    """(node, component) of the nodes with links, links being all verified pairs that share a bucket; the smallest node names a component.
 
     rows: (key, node long, ...), one row for each bucket that a node is in; counted: they have their bucket's size n, are
     of buckets with more than one row, and are cheap to read again. verify: keeps the pairs (a, b) that hold. where: a
@@ -163,24 +179,26 @@ def link_buckets(
         rows = rows.where(F.col("n") > hot)
     crowd = cut(rows.drop("n"))
     if crowd.isEmpty():
-        return cut(verify(pairs))
+        return cut(components(verify(pairs)))
     hub = lambda rows, k: rows.groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]), F.xxhash64("node", F.lit(k))).alias("hub"))
     spokes = lambda rows: rows.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    near = cut(verify(pairs.union(spokes(crowd.join(hub(crowd, 0), "key").where("node <> hub.node"))).distinct()))
+    found = cut(components(verify(pairs.union(spokes(crowd.join(hub(crowd, 0), "key").where("node <> hub.node"))).distinct())))
 
-    def place(near: DataFrame) -> DataFrame:
+    def place(found: DataFrame) -> DataFrame:
         """The rows of crowded buckets that hold more than one component, with their component (part) and the bucket's largest (main)."""
-        placed = cut(crowd.join(components(near), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
+        placed = cut(crowd.join(found, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
         parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("part", F.struct("n", "part")).alias("main")).where("k > 1").drop("k")
         return cut(placed.join(mixed, "key"))
 
-    placed = place(near)
+    placed = place(found)
     if placed.isEmpty():
-        return near
+        return found
     more = [spokes(placed.join(hub(placed, k), "key").where("part <> hub.part")) for k in range(1, rounds)]
-    near = cut(near.union(verify(reduce(DataFrame.union, more).distinct())))
-    placed = place(near)
+    found = merged(found, verify(reduce(DataFrame.union, more).distinct()))
+    placed = place(found)
+    if placed.isEmpty():
+        return found
     placed = placed if attach is None else attach(placed)
     apart = (F.col("l.part") != F.col("r.part")) & ((F.col("r.part") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
     if holds:
@@ -188,4 +206,4 @@ def link_buckets(
     elif where:
         apart &= where("l", "r") | where("r", "l")
     rest = ends(placed.where("part <> main").alias("l").join(placed.alias("r"), (F.col("l.key") == F.col("r.key")) & apart))
-    return near.union(cut(rest if holds else verify(rest)))
+    return merged(found, rest if holds else verify(rest))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, join_hot, keep_firsts, link_buckets, with_texts
+from .shared import bucket_components, cut, join_hot, keep_firsts, with_texts
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -159,8 +159,7 @@ def _linked(fps: DataFrame, most: int) -> DataFrame:
     if not 0 <= most <= 4:
         raise ValueError("the bucket scheme finds links of at most 4 differing bits")
     holds = lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
-    edges = link_buckets(_bucket_rows(fps), holds, lambda left, right: _once(left, right, most))
-    return cut(components(edges).withColumnRenamed("node", "fp"))
+    return bucket_components(_bucket_rows(fps), holds, where=lambda left, right: _once(left, right, most)).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
