@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import records as M
+from tidemark.operators import search
+
 BASE, NOW = "2023-12-01 00:00:00", "2024-02-01 00:00:00"
 TYPES = ("decision", "pattern", "error", "context", "architecture", "preference")
 CLASSES = {"error": "missing_content", "click": "vocabulary_mismatch", "view": "stale_ranking", "purchase": "scope_mismatch"}
@@ -69,6 +72,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def index(spark: SparkSession, sf_dir: str, terms: DataFrame | None = None) -> DataFrame:
+    """Postings of the live records: closed ones take no candidate's place."""
+    return search.postings(M.live(records(spark, sf_dir)), terms)
+
+
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector is a query."""
     return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -101,7 +109,7 @@ knn AS (
   SELECT query_id, chunk_id, memory_id, round(coalesce(list_cosine_similarity(vector, embedding), 0), 6) AS cosine FROM qvectors, chunks),
 postings AS (
   SELECT term, id, list_sum(list_transform(range(1, least(tf, 256) + 1), lambda i: 1.0::DOUBLE / (i * i))) AS weight
-  FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_split_to_array(lower(content), '[^a-z0-9]+')) AS term FROM records) WHERE term <> '' GROUP BY ALL)),
+  FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_split_to_array(lower(content), '[^a-z0-9]+')) AS term FROM records WHERE valid_to IS NULL) WHERE term <> '' GROUP BY ALL)),
 terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM queries) WHERE term <> ''),
 lexical AS (SELECT query_id, id, round(sum(weight), 6) AS score FROM terms JOIN postings USING (term) GROUP BY ALL)
 """

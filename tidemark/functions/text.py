@@ -20,6 +20,91 @@ MONETARY = r"(?i)\bhow much\b.*\b(save|saved|spend|spent|raised?|earn|earned|in
 TEMPORAL_QUANTITY = r"(?i)\bhow many (days?|weeks?|months?|years?) (ago|before|after)\b"
 
 
+# What says that a text or a query is about preferences, and what looks like it and isn't.
+PREFERENCE_WORDS = (
+    "prefer", "prefers", "preferred", "favorite", "favourite", "enjoy", "enjoys", "enjoyed", "like", "love", "loves", "loved", "hate", "hates", "hated", "dislike", "dislikes", "disliked",
+    "adore", "adores", "adored", "detest", "detests", "detested", "allergic", "vegetarian", "vegan", "avoid", "avoids",
+)
+PREFERENCE_QUERY = (*PREFERENCE_WORDS, "likes", "liked", "interested")
+PREFERENCE_PHRASES = ("can't stand", "cannot stand", "can't eat", "cannot eat")
+NO_PREFERENCE = ("i'd like to", "i would like", "i love this approach", "i love this pr", "i love this idea", "i love this solution", "would love to", "would love feedback", "i hate to say", "i hate to admit")
+# Words of queries that name no topic.
+NO_TOPIC = (
+    "a", "an", "the", "for", "on", "in", "of", "to", "and", "or", "i", "me", "my", "you", "your", "do", "is", "are", "some", "any", "can", "could", "would", "should", "what", "which", "how", "when", "where",
+    "user", "preference", "like", "dislike", "use", "avoid", "likes", "dislikes", "uses", "avoids",
+)
+# Words that questions and answers share by chance, and verbs that answers have.
+STOP_WORDS = (
+    "the", "a", "an", "of", "in", "to", "for", "and", "or", "but", "at", "on", "by", "with", "is", "was", "are", "were", "be", "been", "he", "she", "it", "they", "we", "i", "his", "her", "its", "their", "our", "my",
+    "what", "who", "when", "where", "why", "how", "does", "do", "did", "has", "have", "had", "that", "this", "which", "not", "no",
+)
+ANSWER_VERBS = (
+    "is", "was", "are", "were", "has", "have", "had", "works", "worked", "lives", "lived", "prefers", "preferred", "uses", "used", "likes", "liked", "loves", "loved", "hates", "hated", "eats", "ate", "drives", "drove",
+    "plays", "played", "enjoys", "enjoyed",
+)
+
+
+def _strings(words: tuple[str, ...]) -> Column:
+    return F.array(*map(F.lit, words))
+
+
+def is_preference(query: Column) -> Column:
+    return _says(query, PREFERENCE_QUERY)
+
+
+def is_preference_content(text: Column) -> Column:
+    """A text that states a preference, and none of the phrases that only sound like it."""
+    low = F.lower(text)
+    return ~contains_any(low, NO_PREFERENCE) & (_says(text, PREFERENCE_WORDS) | contains_any(low, PREFERENCE_PHRASES))
+
+
+def stated_preferences(text: Column) -> Column:
+    """The sentences of a text that state a preference, "I" at their start being the user."""
+    parts = F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s))
+    mine = F.filter(parts, lambda s: (s != "") & is_preference_content(s))
+    return F.transform(mine, lambda s: F.when(s.startswith("I "), F.concat(F.lit("User "), F.substr(s, F.lit(3)))).otherwise(s))
+
+
+def topic_anchors(query: Column) -> Column:
+    return F.array_except(token_set(query), _strings(NO_TOPIC))
+
+
+def has_topic(text: Column, anchors: Column) -> Column:
+    low = F.lower(text)
+    return F.exists(anchors, lambda t: F.contains(low, t))
+
+
+def name_pairs(query: Column) -> Column:
+    """Neighbouring words that both begin with a capital letter, as "a b" in lower case, marks at their ends left out."""
+    words = F.transform(F.filter(F.split(query, r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
+    some = F.size(words) > 1
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.struct(F.get(words, i - 1).alias("a"), F.get(words, i).alias("b")))
+    named = F.filter(pairs, lambda p: p["a"].rlike("^[A-Z]") & p["b"].rlike("^[A-Z]"))
+    return F.when(some, F.transform(named, lambda p: F.lower(F.concat_ws(" ", p["a"], p["b"])))).otherwise(F.array().cast("array<string>"))
+
+
+def is_identifier(query: Column) -> Column:
+    return query.rlike(URL) | query.rlike(PHONE) | (F.size(name_pairs(query)) > 0)
+
+
+def identifier_hit(text: Column, query: Column) -> Column:
+    """The text holds a URL or phone number of the query as it stands, or a pair of its names, in either order and any case."""
+    exact = F.concat(F.regexp_extract_all(query, F.lit(URL), F.lit(0)), F.regexp_extract_all(query, F.lit(PHONE), F.lit(0)))
+    low = F.lower(text)
+    turned = lambda p: F.concat_ws(" ", F.get(F.split(p, " "), F.lit(1)), F.get(F.split(p, " "), F.lit(0)))
+    return F.exists(exact, lambda x: F.contains(text, x)) | F.exists(name_pairs(query), lambda p: F.contains(low, p) | F.contains(low, turned(p)))
+
+
+def without_controls(text: Column) -> Column:
+    """Control characters but tab and line ends go."""
+    return F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
+
+
+def finite(x: Column) -> Column:
+    """0 in place of what is not a number or infinite."""
+    return F.when(F.isnan(x) | x.isin(float("inf"), float("-inf")), F.lit(0.0)).otherwise(x)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits, repeats included."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
@@ -50,9 +135,20 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
     return F.when(union == 0, F.lit(both_empty)).otherwise(common / union)
 
 
+def first_bytes(text: Column, most: int) -> Column:
+    """The longest start of the text whose UTF-8 form has at most `most` bytes."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda k: F.hex(F.substring(raw, k + 1, 1)).rlike("^[89AB]")  # noqa: E731  byte k + 1 goes on with a character
+    at = F.when(~inside(most), most).when(~inside(most - 1), most - 1).when(~inside(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(raw, F.lit(1), at), "UTF-8"))
+
+
 def excerpt(text: Column, most: int = 500) -> Column:
-    """The text, or its first characters and an ellipsis if its UTF-8 form has more than `most` bytes."""
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("…")))
+    """The text, or, if its UTF-8 form has more than `most` bytes, what comes before the last character that begins within them, and an ellipsis."""
+    raw = F.encode(text, "UTF-8")
+    begins = lambda k: ~F.hex(F.substring(raw, k + 1, 1)).rlike("^[89AB]")
+    at = F.when(begins(most), most).when(begins(most - 1), most - 1).when(begins(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), at), "UTF-8"), F.lit("…")))
 
 
 def size_tier(text: Column) -> Column:

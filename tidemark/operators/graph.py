@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(id, other, rel_type, strength, direction); a self-loop once."""
@@ -66,4 +68,4 @@ def conflicts(results: DataFrame, edges: DataFrame, records: DataFrame, most: in
     hit = hit.withColumn("k", first).where("k = 1")
     hit = hit.join(records.where("valid_to is null").select(F.col("id").alias("other"), "content"), "other")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "other"))
-    return hit.withColumn("k", place).where(F.col("k") <= most).select("query_id", F.col("id").alias("result_id"), F.col("other").alias("conflict_id"), "strength", F.substring("content", 1, 500).alias("chunk"))
+    return hit.withColumn("k", place).where(F.col("k") <= most).select("query_id", F.col("id").alias("result_id"), F.col("other").alias("conflict_id"), "strength", T.first_bytes(F.col("content"), 500).alias("chunk"))

@@ -65,15 +65,61 @@ def evidence_first(df: DataFrame, by: str = "query_id") -> DataFrame:
 
 
 def answerability(query: Column, summary: Column) -> Column:
-    """Share of query words that the summary holds, exactly or as a prefix of four letters and more, with .08 for a number."""
-    q, s = T.tokens(query), T.token_set(summary)
+    """Share of the query's words that the summary holds, exactly or as a prefix of four letters and more, stop words and single
+    letters left out; .15 of what is missing for a verb that answers have, else .08 for a number."""
+    telling = lambda t: F.filter(T.tokens(t), lambda w: (F.length(w) > 1) & ~w.isin(*T.STOP_WORDS))
+    q, s = telling(query), F.array_distinct(telling(summary))
     near = lambda a, b: ((F.length(a) >= 4) & b.startswith(a)) | ((F.length(a) >= 4) & (F.length(b) >= 4) & a.startswith(b))
     hits = F.size(F.filter(q, lambda a: F.exists(s, lambda b: (a == b) | near(a, b))))
-    bonus = F.when(F.exists(s, lambda b: b.rlike("^[0-9]+$")), 0.08).otherwise(0.0)
+    raw = F.transform(F.filter(F.split(F.lower(summary), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"""^[.,;:!?"'()\[\]{}–—]+|[.,;:!?"'()\[\]{}–—]+$""", ""))
+    bonus = F.when(F.exists(raw, lambda w: w.isin(*T.ANSWER_VERBS)), 0.15).when(F.exists(raw, lambda w: w.rlike("^[0-9]+$")), 0.08).otherwise(0.0)
     share = hits / F.nullif(F.size(q), F.lit(0))
     return F.when((F.size(q) == 0) | (F.size(s) == 0), F.lit(0.0)).otherwise(share * (1 - bonus) + bonus)
 
 
+def dense_rerank(df: DataFrame, scorer: str, most: int = 20, by: str = "query_id") -> DataFrame:
+    """The best `most` rows of each query take the scorer's column, stretched from 0 to 1 among them, as their score; the others keep theirs behind them."""
+    w = Window.partitionBy(by, "_in")
+    low, high = F.min(scorer).over(w), F.max(scorer).over(w)
+    stretched = F.when(high == low, 0.5).otherwise((F.col(scorer) - low) / F.nullif(high - low, F.lit(0.0)))
+    df = df.withColumn("_in", F.col("rank") <= most)
+    df = df.withColumn("score", F.when(F.col("_in"), F.round(stretched, 6)).otherwise(F.col("score")))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_in"), F.desc("score"), "id"))
+    return df.withColumn("rank", place).drop("_in")
+
+
+def rescored(df: DataFrame, scores: DataFrame, by: str = "query_id") -> DataFrame:
+    """New scores (query_id, id, score) replace those of the rows that they name; then all are ranked again."""
+    new = scores.select(by, "id", F.col("score").alias("_new"))
+    return ranked(df.join(new, [by, "id"], "left").withColumn("score", F.coalesce("_new", "score")).drop("_new"), by)
+
+
+def session_reranked(df: DataFrame, by: str = "query_id") -> DataFrame:
+    """Sessions by their DCG, then their best score; within them rows by score. An untagged record is a session of its own."""
+    group = F.when(F.col("session") == "", F.concat(F.lit("#"), F.col("id").cast("string"))).otherwise(F.col("session"))
+    df = df.withColumn("session", group)
+    dcg = session_dcg(df, by).select(by, "session", F.round("dcg", 6).alias("dcg"))
+    best = F.max("score").over(Window.partitionBy(by, "session"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("dcg"), F.desc("_best"), "session", F.desc("score"), "id"))
+    return df.join(dcg, [by, "session"]).withColumn("_best", best).withColumn("rank", place).drop("_best")
+
+
+def visible(df: DataFrame, query: str = "query", tag: str = "extracted-preference") -> DataFrame:
+    """Rows with the tag only for queries that ask for preferences."""
+    return df.where(~F.array_contains("tags", tag) | T.is_preference(F.col(query)))
+
+
+def in_scope(df: DataFrame, since: Column | None = None, until: Column | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
+    """Results created from since to until, both included, that have all the tags."""
+    if since is not None:
+        df = df.where(F.col("created_at") >= since)
+    if until is not None:
+        df = df.where(F.col("created_at") <= until)
+    for t in tags:
+        df = df.where(F.array_contains("tags", t))
+    return df
+
+
 def answerability_rerank(df: DataFrame, weight: float = 0.4, by: str = "query_id") -> DataFrame:
     top = F.max("score").over(Window.partitionBy(by))
     blended = weight * answerability(F.col("query"), F.col("summary")) + (1 - weight) * F.when(top > 0, F.col("score") / F.nullif(top, F.lit(0.0))).otherwise(0.0)

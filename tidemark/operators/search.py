@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vector as V
 
-#: Query rows that are broadcast; more are joined block by block by Spark's own nested loop.
+#: Query rows that are sent to every task at once; more are taken in blocks of so many.
 QUERY_ROWS = 20_000
 
 
@@ -20,14 +22,18 @@ def _top(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6, many: bool = False) -> DataFrame:
     """Exact search: each query's k chunks of highest cosine, as (query_id, chunk_id, memory_id, cosine, rank).
 
-    queries: (query_id, vector), a stated set that is sent to every task (many: it isn't); chunks: (chunk_id, memory_id,
-    embedding). Norms are taken once for each vector, ties go by chunk_id, and every task keeps its own best k first.
+    queries: (query_id, vector), a stated set; it is counted, and blocks of QUERY_ROWS are sent to every task, each block
+    with its own best k; chunks: (chunk_id, memory_id, embedding). Norms are taken once for each vector, ties go by chunk_id, and every task keeps its own best k first.
     """
     q = queries.select("query_id", V.doubles(F.col("vector")).alias("v")).withColumn("nv", V.norm(F.col("v")))
     c = chunks.where("embedding is not null").select("chunk_id", "memory_id", V.doubles(F.col("embedding")).alias("e")).withColumn("ne", V.norm(F.col("e")))
-    pairs = c.crossJoin(q if many else F.broadcast(q))
-    scored = pairs.select("query_id", "chunk_id", "memory_id", F.round(V.cosine(F.col("v"), F.col("e"), F.col("nv"), F.col("ne")), digits).alias("cosine"))
-    return _top(scored, "query_id", "cosine", "chunk_id", k)
+    n = 1 if many else max(1, -(-queries.count() // QUERY_ROWS))
+    found = []
+    for part in range(n):
+        some = q if n == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == part)
+        scored = c.crossJoin(some if many else F.broadcast(some)).select("query_id", "chunk_id", "memory_id", F.round(V.cosine(F.col("v"), F.col("e"), F.col("nv"), F.col("ne")), digits).alias("cosine"))
+        found.append(_top(scored, "query_id", "cosine", "chunk_id", k))
+    return reduce(DataFrame.union, found)
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
@@ -36,17 +42,24 @@ def best_hits(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("query_id", F.col("memory_id").alias("id"), "chunk_id", "cosine")
 
 
-def postings(records: DataFrame) -> DataFrame:
-    """(term, id, weight): weight sums 1 / i² over a term's first 256 occurrences in a record."""
-    tf = records.select("id", F.explode(T.tokens(F.col("content"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+def postings(records: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, id, weight): weight sums 1 / i² over a term's first 256 occurrences in a record; of the terms (term) alone, if given.
+
+    Terms are few beside a corpus's words, so those that no query has are dropped before anything is shuffled.
+    """
+    words = records.select("id", F.explode(T.tokens(F.col("content"))).alias("term"))
+    tf = (words if terms is None else words.join(terms.select("term").distinct(), "term", "left_semi")).groupBy("term", "id").agg(F.count("*").alias("tf"))
     weight = F.aggregate(F.sequence(F.lit(1), F.least("tf", F.lit(256)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / (i * i))
     return tf.select("term", "id", weight.alias("weight"))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(T.token_set(F.col("text"))).alias("term"))
+
+
 def lexical(queries: DataFrame, index: DataFrame, k: int | None = None, digits: int = 6) -> DataFrame:
     """Records with any term of a query, as (query_id, id, score), the best k of each."""
-    terms = queries.select("query_id", F.explode(T.token_set(F.col("text"))).alias("term"))
-    scored = terms.join(index, "term").groupBy("query_id", "id").agg(F.round(F.sum("weight"), digits).alias("score"))
+    scored = query_terms(queries).join(index, "term").groupBy("query_id", "id").agg(F.round(F.sum("weight"), digits).alias("score"))
     return scored if k is None else _top(scored, "query_id", "score", "id", k).drop("rank")
 
 

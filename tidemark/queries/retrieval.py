@@ -24,12 +24,12 @@ def knn_cosine_top10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM lexical) WHERE k <= 10")
 def fts_or_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return search.lexical(X.queries(spark, sf), search.postings(X.records(spark, sf)), 10)
+    return search.lexical(X.queries(spark, sf), X.index(spark, sf, search.query_terms(X.queries(spark, sf))), 10)
 
 
 @query("SELECT term, count(*) AS df, round(sum(weight), 4) AS weight FROM postings GROUP BY term")
 def postings_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return search.postings(X.records(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("weight"), 4).alias("weight"))
+    return X.index(spark, sf).groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 @query("SELECT query_id, memory_id AS id, chunk_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id, memory_id ORDER BY cosine DESC, chunk_id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS r FROM knn) WHERE r <= 30) WHERE k = 1")
@@ -94,7 +94,7 @@ def _recall(spark: SparkSession, sf: str, weights: S.Weights = S.DEFAULT, fusion
     v = X.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     q = X.queries(spark, sf).join(v, "query_id", "left")
     r = X.records(spark, sf)
-    return R.recall(q, r, X.chunks(spark, sf), search.postings(r), X.now(), weights=weights, fusion=fusion)
+    return R.recall(q, r, X.chunks(spark, sf), X.index(spark, sf, search.query_terms(q)), X.now(), weights=weights, fusion=fusion)
 
 
 @query(_recall_sql(_TIMED, _weighted(S.DEFAULT)))
@@ -129,7 +129,7 @@ det AS (SELECT res.*, content, summary, tags, memory_type, substr(list_filter(ta
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     r = X.records(spark, sf)
-    hits = rank.ranked(search.lexical(X.queries(spark, sf), search.postings(r)), k=30)
+    hits = rank.ranked(search.lexical(X.queries(spark, sf), X.index(spark, sf, search.query_terms(X.queries(spark, sf)))), k=30)
     return hits.join(r.select("id", "content", "summary", "tags", "memory_type"), "id").withColumn("session", rank.session_of(F.col("tags")))
 
 
@@ -151,14 +151,19 @@ def preference_slots(spark: SparkSession, sf: str) -> DataFrame:
     return rank.preference_slots(df, 10).select("query_id", "id", "is_preference", "rank")
 
 
-@query(_RESULTS + """, qt AS (SELECT query_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS q FROM queries),
-m AS (SELECT det.query_id, id, score, q, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(summary, substr(content, 1, 80))), '[^a-z0-9]+'), lambda x: x <> '')) AS s FROM det JOIN qt USING (query_id)),
+_TELLING = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: len(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "))"
+_RAW = "list_transform(regexp_split_to_array(lower(summary), '\\s+'), lambda x: trim(x, '.,;:!?\"''()[]{}–—'))"
+_VERBS = ", ".join(f"'{w}'" for w in T.ANSWER_VERBS)
+
+
+@query(_RESULTS + f""", qt AS (SELECT query_id, {_TELLING.format('text')} AS q FROM queries),
+m AS (SELECT query_id, id, score, q, list_distinct({_TELLING.format('summary')}) AS s, {_RAW} AS raw FROM (SELECT * REPLACE (coalesce(summary, content) AS summary) FROM det) JOIN qt USING (query_id)),
 a AS (SELECT query_id, id, score, len(list_filter(q, lambda a: len(list_filter(s, lambda b: a = b OR (len(a) >= 4 AND starts_with(b, a)) OR (len(a) >= 4 AND len(b) >= 4 AND starts_with(a, b)))) > 0))::DOUBLE / nullif(len(q), 0) AS share,
-  CASE WHEN len(list_filter(s, lambda b: regexp_full_match(b, '[0-9]+'))) > 0 THEN 0.08::DOUBLE ELSE 0 END AS bonus, len(q) = 0 OR len(s) = 0 AS none FROM m),
+  CASE WHEN len(list_filter(raw, lambda b: b IN ({_VERBS}))) > 0 THEN 0.15::DOUBLE WHEN len(list_filter(raw, lambda b: regexp_full_match(b, '[0-9]+'))) > 0 THEN 0.08 ELSE 0 END AS bonus, len(q) = 0 OR len(s) = 0 AS none FROM m),
 o AS (SELECT query_id, id, round(0.4::DOUBLE * CASE WHEN none THEN 0 ELSE share * (1 - bonus) + bonus END + 0.6::DOUBLE * score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM a)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM o""")
 def answerability_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    df = _results(spark, sf).withColumn("summary", F.coalesce("summary", F.substring("content", 1, 80))).join(X.queries(spark, sf).withColumnRenamed("text", "query"), "query_id")
+    df = _results(spark, sf).withColumn("summary", F.coalesce("summary", "content")).join(X.queries(spark, sf).withColumnRenamed("text", "query"), "query_id")
     return rank.answerability_rerank(df).select("query_id", "id", "score", "rank")
 
 
@@ -193,7 +198,7 @@ def two_pass_merge(spark: SparkSession, sf: str) -> DataFrame:
 def federated_max(spark: SparkSession, sf: str) -> DataFrame:
     """The best five of every project, united; an id has its highest score."""
     r = X.records(spark, sf)
-    df = search.lexical(X.queries(spark, sf), search.postings(r)).join(r.select("id", "project"), "id")
+    df = search.lexical(X.queries(spark, sf), X.index(spark, sf, search.query_terms(X.queries(spark, sf)))).join(r.select("id", "project"), "id")
     k = F.row_number().over(Window.partitionBy("query_id", "project").orderBy(F.desc("score"), "id"))
     return df.withColumn("k", k).where("k <= 5").groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
@@ -213,7 +218,7 @@ def bfs_depth3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_RESULTS + """, l AS (SELECT res.query_id, res.id, rank, other, strength FROM res JOIN both_ways USING (id) WHERE rel_type = 'contradicts'),
 m AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM res r WHERE r.query_id = l.query_id AND r.id = l.other) QUALIFY row_number() OVER (PARTITION BY query_id, other ORDER BY rank, id) = 1),
-n AS (SELECT m.query_id, m.id AS result_id, m.other AS conflict_id, strength, substr(content, 1, 500) AS chunk, row_number() OVER (PARTITION BY query_id ORDER BY rank, other) AS k FROM m JOIN records x ON x.id = m.other WHERE valid_to IS NULL)
+n AS (SELECT m.query_id, m.id AS result_id, m.other AS conflict_id, strength, substr(content, 1, CAST(len(list_filter(range(1, 501), lambda i: strlen(substr(content, 1, i)) <= 500)) AS BIGINT)) AS chunk, row_number() OVER (PARTITION BY query_id ORDER BY rank, other) AS k FROM m JOIN records x ON x.id = m.other WHERE valid_to IS NULL)
 SELECT query_id, result_id, conflict_id, strength, sha256(chunk) AS chunk FROM n WHERE k <= 50""")
 def conflict_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return graph.conflicts(_results(spark, sf).select("query_id", "id", "rank"), X.edges(spark, sf), X.records(spark, sf)).withColumn("chunk", F.sha2("chunk", 256))
