@@ -63,3 +63,20 @@ def rolled_up(df: DataFrame, by: str, **aggregates: Column) -> DataFrame:
 def merged_aliases(entities: DataFrame) -> DataFrame:
     """One row for each (project, lower name) with all its aliases, each once."""
     return entities.groupBy("project", F.lower("name").alias("name")).agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
+def pattern_audit(df: DataFrame, by: list[str]) -> DataFrame:
+    """How many verdicts KEEP, TUNE and REJECT each group has, and the share of rejected ones."""
+    tally = {k.lower(): F.count_if(F.col("verdict") == k) for k in ("KEEP", "TUNE", "REJECT")}
+    return df.groupBy(*by).agg(*[v.alias(k) for k, v in tally.items()], (tally["reject"] / F.nullif(F.count("*"), F.lit(0))).alias("false_positive_rate"))
+
+
+def most_frequent(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """Each group's most frequent value and how often it occurs; of equally frequent ones the first."""
+    n = df.groupBy(*by, column).agg(F.count("*").alias("n"))
+    return n.groupBy(*by).agg(F.min_by(F.struct(column, "n"), F.struct(-F.col("n"), column)).alias("x")).select(*by, f"x.{column}", "x.n")
+
+
+def tags_like(records: DataFrame, pattern: str, limit: int) -> DataFrame:
+    """Counts of the tags that fit the pattern in any case, the most frequent first."""
+    return by_tag(records).where(F.col("label").ilike(pattern)).orderBy(F.desc("n"), "label").limit(limit)

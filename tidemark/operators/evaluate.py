@@ -42,3 +42,22 @@ def taxonomy(df: DataFrame) -> DataFrame:
 
 def first_of_each(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_k") <= n).drop("_k")
+
+
+def score_report(rows: DataFrame) -> DataFrame:
+    """Rows (kind, label: correct, partial or incorrect): counts and strict and lenient accuracy of each kind and overall, by rollup."""
+    n = {k: F.count_if(F.col("label") == k) for k in ("correct", "partial", "incorrect")}
+    out = rows.rollup("kind").agg(F.grouping("kind").alias("_all"), F.count("*").alias("total"), *[v.alias(k) for k, v in n.items()])
+    total = F.nullif("total", F.lit(0))
+    return out.select(F.when(F.col("_all") == 1, "overall").otherwise(F.col("kind")).alias("kind"), "total", *n, (F.col("correct") / total).alias("strict"), ((F.col("correct") + F.col("partial")) / total).alias("lenient"))
+
+
+def by_nearness(df: DataFrame, day: Column, stamp: str = "valid_from", by: str = "project") -> DataFrame:
+    """Rows of each group with their place by days from a date; undated ones last."""
+    w = Window.partitionBy(by).orderBy(F.asc_nulls_last(F.abs(F.datediff(F.col(stamp).cast("date"), day))), "id")
+    return df.withColumn("place", F.row_number().over(w))
+
+
+def in_time(df: DataFrame, stamp: str = "valid_from", by: str = "project") -> DataFrame:
+    """Rows of each group with their place in time; undated ones first."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.asc_nulls_first(stamp), "id")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scoring as S
 from tidemark.functions import text as T
 
 
@@ -124,3 +125,16 @@ def answerability_rerank(df: DataFrame, weight: float = 0.4, by: str = "query_id
     top = F.max("score").over(Window.partitionBy(by))
     blended = weight * answerability(F.col("query"), F.col("summary")) + (1 - weight) * F.when(top > 0, F.col("score") / F.nullif(top, F.lit(0.0))).otherwise(0.0)
     return ranked(df.withColumn("score", F.round(blended, 6)), by)
+
+
+def with_weights(projects: DataFrame, learned: DataFrame, default: S.Weights = S.DEFAULT) -> DataFrame:
+    """Each project's learned weights (project, vector, lexical, recency, precision), or the default ones."""
+    names = ["vector", "lexical", "recency", "precision"]
+    both = projects.join(learned.select("project", *[F.col(k).alias(f"_{k}") for k in names]), "project", "left")
+    return both.withColumns({k: F.coalesce(f"_{k}", F.lit(getattr(default, k))) for k in names}).drop(*[f"_{k}" for k in names])
+
+
+def united(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows (*by, *order, id) as one list of distinct ids for each group, in the order first seen; a group's list is bounded by its ids."""
+    first = rows.groupBy(*by, "id").agg(F.min(F.struct(*order)).alias("first"))
+    return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "id"))), lambda s: s["id"]).alias("ids"))

@@ -124,3 +124,19 @@ def decayed(records: DataFrame, at: Column, rate: float = 0.95) -> DataFrame:
     due = F.col("next_review_at") < at
     step = F.make_dt_interval(hours=F.col("retrieval_interval_hrs").cast("int"))
     return records.withColumns({"dynamic_importance": F.when(due, F.greatest(F.lit(0.1), F.col("dynamic_importance") * rate)).otherwise(F.col("dynamic_importance")), "next_review_at": F.when(due, F.col("next_review_at") + step).otherwise(F.col("next_review_at"))})
+
+
+def chunks_of(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks of some records (their ids in the first column)."""
+    return chunks.join(ids.select(F.col(ids.columns[0]).alias("memory_id")).distinct(), "memory_id", "left_semi")
+
+
+def recent_chunks(chunks: DataFrame, records: DataFrame, limit: int | None = None) -> DataFrame:
+    """Chunks of live records with the record's last_accessed; with a limit those of the most recently read records."""
+    df = chunks.join(live(records).select(F.col("id").alias("memory_id"), "last_accessed"), "memory_id")
+    return df if limit is None else df.orderBy(F.desc("last_accessed"), "chunk_id").limit(limit)
+
+
+def orphans(documents: DataFrame, references: DataFrame) -> DataFrame:
+    """Documents (id) that no record refers to by its document_id."""
+    return documents.join(references.where("document_id is not null").select(F.col("document_id").alias("id")), "id", "left_anti")
