@@ -19,23 +19,34 @@ def _top(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _scored(queries: DataFrame, chunks: DataFrame, digits: int, spread: bool) -> DataFrame:
+    """Cosines of all chunks with a block of queries that is sent to every task (spread: it isn't); norms are taken once for each vector."""
+    q = queries.select("query_id", V.doubles(F.col("vector")).alias("v")).withColumn("nv", V.norm(F.col("v")))
+    c = chunks.where("embedding is not null").select("chunk_id", "memory_id", V.doubles(F.col("embedding")).alias("e")).withColumn("ne", V.norm(F.col("e")))
+    return c.crossJoin(q if spread else F.broadcast(q)).select("query_id", "chunk_id", "memory_id", F.round(V.cosine(F.col("v"), F.col("e"), F.col("nv"), F.col("ne")), digits).alias("cosine"))
+
+
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    n = max(1, -(-queries.count() // QUERY_ROWS))
+    return [queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
+
+
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6, many: bool = False) -> DataFrame:
     """Exact search: each query's k chunks of highest cosine, as (query_id, chunk_id, memory_id, cosine, rank).
 
-    queries: (query_id, vector), a stated set; it is counted, and blocks of QUERY_ROWS are sent to every task, each block
-    with its own best k; chunks: (chunk_id, memory_id, embedding). Norms are taken once for each vector, ties go by chunk_id, and every task keeps its own best k first.
+    queries: (query_id, vector), a stated set; it is counted, and blocks of QUERY_ROWS are sent to every task (many: none
+    is), each block with its own best k; chunks: (chunk_id, memory_id, embedding). Ties go by chunk_id, and every task
+    keeps its own best k first.
     """
-    q = queries.select("query_id", V.doubles(F.col("vector")).alias("v")).withColumn("nv", V.norm(F.col("v")))
-    c = chunks.where("embedding is not null").select("chunk_id", "memory_id", V.doubles(F.col("embedding")).alias("e")).withColumn("ne", V.norm(F.col("e")))
-    n = 1 if many else max(1, -(-queries.count() // QUERY_ROWS))
-    found = []
-    for part in range(n):
-        some = q if n == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == part)
-        scored = c.crossJoin(some if many else F.broadcast(some)).select("query_id", "chunk_id", "memory_id", F.round(V.cosine(F.col("v"), F.col("e"), F.col("nv"), F.col("ne")), digits).alias("cosine"))
-        found.append(_top(scored, "query_id", "cosine", "chunk_id", k))
+    found = [_top(_scored(q, chunks, digits, many), "query_id", "cosine", "chunk_id", k) for q in ([queries] if many else _blocks(queries))]
     return reduce(DataFrame.union, found)
 
 
+def similar(queries: DataFrame, chunks: DataFrame, least: float, digits: int = 6) -> DataFrame:
+    """Every chunk with at least such a cosine to a query of a stated set, in blocks of it: (query_id, chunk_id, memory_id, cosine)."""
+    return reduce(DataFrame.union, [_scored(q, chunks, digits, False).where(F.col("cosine") >= least) for q in _blocks(queries)])
+
+
 def best_hits(hits: DataFrame) -> DataFrame:
     """Each record's best chunk for a query."""
     w = Window.partitionBy("query_id", "memory_id").orderBy(F.desc("cosine"), "chunk_id")

@@ -70,7 +70,7 @@ def cluster_pruned_knn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LEGS = """WITH v AS (SELECT query_id, memory_id AS id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, memory_id) AS vr FROM knn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) <= 30),
-qq AS (SELECT query_id FROM queries), vq AS (SELECT v.* FROM v JOIN qq USING (query_id)),
+vq AS (SELECT q.query_id, id, cosine, vr FROM v JOIN queries q ON v.query_id = 20 * (q.query_id % 10)),
 x AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS xr FROM lexical QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30),
 xn AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS lexical, xr FROM x),
 c AS (SELECT query_id, id, coalesce(cosine, 0) AS cosine, coalesce(lexical, 0) AS lexical, vr, xr FROM vq FULL JOIN xn USING (query_id, id)),
@@ -91,8 +91,9 @@ def _weighted(w: S.Weights) -> str:
 
 
 def _recall(spark: SparkSession, sf: str, weights: S.Weights = S.DEFAULT, fusion: str = "weighted") -> DataFrame:
-    v = X.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    q = X.queries(spark, sf).join(v, "query_id", "left")
+    """All benchmark items as queries; each gets one of the first ten query vectors, so that both legs find something for it."""
+    v = X.query_vectors(spark, sf).withColumnRenamed("query_id", "_v")
+    q = X.queries(spark, sf).join(v, F.col("_v") == 20 * (F.col("query_id") % 10), "left").drop("_v")
     r = X.records(spark, sf)
     return R.recall(q, r, X.chunks(spark, sf), X.index(spark, sf, search.query_terms(q)), X.now(), weights=weights, fusion=fusion)
 
@@ -232,14 +233,10 @@ def word_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return search.shared_set_pairs(sets, 0.75).withColumn("similarity", r6("similarity"))
 
 
-@query("""WITH e AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS cosine, a.cluster_id FROM chunks a JOIN chunks b ON a.cluster_id = b.cluster_id AND a.chunk_id < b.chunk_id)
-SELECT a, b, cosine FROM e WHERE cosine >= 0.5 AND NOT EXISTS (SELECT 1 FROM both_ways x WHERE x.id = e.a AND x.other = e.b)""")
+@query("""SELECT query_id AS a, chunk_id AS b, cosine FROM knn WHERE cosine >= 0.3 AND query_id <> chunk_id AND NOT EXISTS (SELECT 1 FROM both_ways x WHERE x.id = query_id AND x.other = chunk_id)""")
 def infer_relationships(spark: SparkSession, sf: str) -> DataFrame:
-    """New edges between similar chunks of one cluster that no edge joins yet; clusters block the comparison."""
-    c = X.chunks(spark, sf).select("cluster_id", "chunk_id", "embedding", V.norm(F.col("embedding")).alias("n"))
-    pairs = c.alias("l").join(c.alias("r"), (F.col("l.cluster_id") == F.col("r.cluster_id")) & (F.col("l.chunk_id") < F.col("r.chunk_id")))
-    cos = r6(V.cosine(F.col("l.embedding"), F.col("r.embedding"), F.col("l.n"), F.col("r.n")))
-    pairs = pairs.select(F.col("l.chunk_id").alias("a"), F.col("r.chunk_id").alias("b"), cos.alias("cosine")).where("cosine >= 0.5")
+    """New edges from the stated query set to similar chunks among all, where no edge is yet."""
+    pairs = search.similar(X.query_vectors(spark, sf), X.chunks(spark, sf), 0.3).select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"), "cosine").where("a <> b")
     return pairs.join(graph.both_ways(X.edges(spark, sf)).select(F.col("id").alias("a"), F.col("other").alias("b")), ["a", "b"], "left_anti")
 
 
