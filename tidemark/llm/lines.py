@@ -16,10 +16,11 @@ that share no more than common letters, and with more of them the more lines the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bucket_components, cut, join_hot, join_sized, text_bytes, unused
@@ -37,6 +38,8 @@ SIMILAR = 0.8
 FETCH_ROWS = 500_000
 #: Rows of a batch looked at together, and pairs compared together.
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 500, 1024
+#: Longs of 64 bits in which lines of crowded buckets are compared before their texts are.
+SKETCH = 16
 #: Characters put under all orders at once.
 BLOCK = 1 << 16
 #: An order of 32-bit hashes is the product with one of these odd numbers.
@@ -200,6 +203,26 @@ def alike(x: pa.Array, y: pa.Array, similar: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, bool)
 
 
+def _marks(texts: pa.Array) -> np.ndarray:
+    """(SKETCH + 1, texts): the number of a text's 5-grams, and 64 * SKETCH bits that say of which hash values their number is odd."""
+    out = np.zeros((SKETCH + 1, len(texts)), np.int64)
+    for k in range(0, len(texts), PAIRS_AT_ONCE):
+        n = len(texts.slice(k, PAIRS_AT_ONCE))
+        grams = _gram_sets(texts.slice(k, PAIRS_AT_ONCE))
+        text, bit = (grams >> np.uint64(52)).astype(np.int64), ((grams >> np.uint64(40)) % np.uint64(64 * SKETCH)).astype(np.int64)
+        odd = np.bincount(text * 64 * SKETCH + bit, minlength=n * 64 * SKETCH).astype(np.uint8) & 1
+        out[0, k : k + n] = np.bincount(text, minlength=n)
+        out[1:, k : k + n] = np.packbits(odd.reshape(n, -1), axis=1).view(np.int64).T
+    return out
+
+
+def _may_be_alike(left: str, right: str, similar: float) -> Column:
+    """False where two rows with _marks can't be similar: each odd bit that differs stands for at least one 5-gram that only one of them has."""
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}"))) for k in range(SKETCH)])
+    # Similar sets share similar / (1 + similar) of the sum of their sizes; doubles are given some room.
+    return apart * (1 + similar) <= (F.col(f"{left}.size") + F.col(f"{right}.size")) * (1 - similar) + 1e-6
+
+
 def line_places(docs: DataFrame, least_chars: int = LEAST_CHARS, similar: float = SIMILAR, short_exact: bool = False) -> DataFrame:
     """(doc_id, text_hash, pos, class) of the lines that occur more than once or are near duplicates of others."""
     every = 1 if short_exact else least_chars
@@ -229,7 +252,15 @@ def line_places(docs: DataFrame, least_chars: int = LEAST_CHARS, similar: float
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
-    parts = bucket_components(crowd, verify, counted=True, pairs=pairs)
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _marks(batch.column(1)))], names=["node", *marks])
+
+    marks = ["size", *[f"s{k}" for k in range(SKETCH)]]
+    sketched = lambda rows: rows.join(texts.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(sketch, ", ".join(f"{x} long" for x in ["node", *marks])), "node")
+    parts = bucket_components(crowd, verify, where=lambda a, b: _may_be_alike(a, b, similar), attach=sketched, counted=True, pairs=pairs)
     places = join_sized(found.drop("norm", "wanted"), parts, ["node"], "left", parts.count(), FETCH_ROWS)
     return places.select("doc_id", "text_hash", "pos", F.coalesce("component", "node").alias("class"))
 
