@@ -19,6 +19,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table may be broadcast; a row here is a few numbers or a short name.
 BROADCAST_ROWS = 20_000
+#: Rows of a few numbers that a task takes where a table is counted: steps over small tables don't run as hundreds of tasks.
+TASK_ROWS = 50_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -38,6 +40,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def for_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df, whose rows are counted, in no more partitions than they need; what follows on one partition needs no shuffle."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut, for rows of a few numbers: in no more partitions than they need, with their number."""
+    df = cut(df)
+    rows = df.count()
+    return for_tasks(df, rows), rows
+
+
+def settle(df: DataFrame) -> DataFrame:
+    return counted(df)[0]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, whatever its case rules."""
     have = {c.lower() for c in df.columns}
@@ -90,28 +108,35 @@ def with_texts(docs: DataFrame, start: Callable[[], Callable[[list[str | None]],
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {schema}")
 
 
+def pairs_of(df: DataFrame, names: tuple[str, str], *pairs: tuple[str, str]) -> DataFrame:
+    """Pairs of df's columns, one below the other under these names; a union would have one partition more for each."""
+    return df.select(F.explode(F.array(*[F.struct(F.col(x).alias(names[0]), F.col(y).alias(names[1])) for x, y in pairs])).alias("p")).select("p.*")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges between longs, as (node, component) with the smallest node as component.
 
     Alternates large-star and small-star steps: every round is a map-side combined minimum and a join by node, so no
     component is ever gathered in one task. The edges of each round go to the shared folder.
     """
-    cur = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    cur, rows = counted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     mark = None
     while True:
-        both = cur.union(cur.select("v", "u"))
+        both = pairs_of(cur, ("u", "v"), ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = for_tasks(large, rows)  # a join of single partitions doesn't count as one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        stars = large.join(low, "u")
-        small = stars.select("u", F.col("m").alias("v")).union(stars.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        stars = for_tasks(large.join(low, "u"), rows)
+        small = pairs_of(stars, ("u", "v"), ("u", "m"), ("v", "m"))
         cur = cut(small.where("u > v").distinct())
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        rows = now[0]
+        cur = for_tasks(cur, rows)
         if now == mark:
             break
         mark = now
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return pairs_of(cur, ("node", "component"), ("u", "v"), ("v", "v")).distinct()
 
 
 def keep_firsts(docs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -132,12 +157,13 @@ def keep_firsts(docs: DataFrame, parts: DataFrame) -> DataFrame:
 def merged(parts: DataFrame, edges: DataFrame) -> DataFrame:
     """Components (node, component) after more edges (a, b), of which only those between components are followed."""
     of = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}c"))
-    e = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    e = cut(e.select("a", "b", F.coalesce("ac", "a").alias("ac"), F.coalesce("bc", "b").alias("bc")).where("ac <> bc"))
+    e, rows = counted(edges)
+    e = for_tasks(e.join(of("a"), "a", "left"), rows).join(of("b"), "b", "left")
+    e, rows = counted(e.select("a", "b", F.coalesce("ac", "a").alias("ac"), F.coalesce("bc", "b").alias("bc")).where("ac <> bc"))
     up = components(e.select(F.col("ac").alias("a"), F.col("bc").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("up"))
-    new = e.select(F.col("a").alias("node"), F.col("ac").alias("component")).union(e.select("b", "bc")).where("node = component").distinct()
-    every = parts.union(new.join(parts.select("node"), "node", "left_anti"))
-    return cut(every.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+    new = pairs_of(e, ("node", "new"), ("a", "ac"), ("b", "bc")).where("node = new").distinct()
+    every = for_tasks(parts.join(new, "node", "full"), parts.count() + 2 * rows).select("node", F.coalesce("component", "new").alias("component"))
+    return settle(every.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
 
 
 def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
@@ -177,19 +203,19 @@ def bucket_components(
         cold = some.alias("l").join(some.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")))
         pairs = ends(cold if where is None else cold.where(where("l", "r")))
         rows = rows.where(F.col("n") > hot)
-    crowd = cut(rows.drop("n"))
+    crowd = settle(rows.drop("n"))
     if crowd.isEmpty():
-        return cut(components(verify(pairs)))
+        return settle(components(verify(pairs)))
     hub = lambda rows, k: rows.groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]), F.xxhash64("node", F.lit(k))).alias("hub"))
     spokes = lambda rows: rows.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    found = cut(components(verify(pairs.union(spokes(crowd.join(hub(crowd, 0), "key").where("node <> hub.node"))).distinct())))
+    found = settle(components(verify(pairs.union(spokes(crowd.join(hub(crowd, 0), "key").where("node <> hub.node"))).distinct())))
 
     def place(found: DataFrame) -> DataFrame:
         """The rows of crowded buckets that hold more than one component, with their component (part) and the bucket's largest (main)."""
-        placed = cut(crowd.join(found, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
+        placed = settle(crowd.join(found, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
         parts = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("part", F.struct("n", "part")).alias("main")).where("k > 1").drop("k")
-        return cut(placed.join(mixed, "key"))
+        return settle(placed.join(mixed, "key"))
 
     placed = place(found)
     if placed.isEmpty():
