@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, language, lines, merkle, mix, pack, shared, simhash, toxicity, warc
+from . import chat, exact, language, lines, manifest, merkle, mix, pack, shared, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +118,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf shows its own digest, or, where 7 divides the crc32 of doc_id, that of a row with n_chars one larger."""
+    fields = [F.col(x).cast("long") if x == "doc_id" else F.col(x) for x in manifest.FIELDS]
+    tampered = manifest.leaf_digest(*[x + 1 if name == "n_chars" else x for name, x in zip(manifest.FIELDS, fields, strict=True)])
+    made = manifest.build(_table(spark, sf_dir, "documents"), shown=F.when(remainder("doc_id", 7) == 0, tampered))
+    return manifest.verify(made).drop("proof")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_packing": op1_bm25_packing,
     "op2_mix_sources": op2_mix_sources,
@@ -129,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
@@ -150,4 +159,39 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
         FROM d WINDOW w AS (PARTITION BY h)
     """,
+    "op12_merkle_manifest": """
+        WITH RECURSIVE f AS (
+            SELECT doc_id, lang, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                   n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail
+            FROM documents),
+        leaves AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                          sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS other FROM f),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+        up AS (
+            SELECT lang, 0 AS h, list(leaf ORDER BY i) AS nodes FROM placed GROUP BY lang
+            UNION ALL
+            SELECT lang, h + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], ''))) FROM up WHERE len(nodes) > 1),
+        subroots AS (SELECT lang, nodes[1] AS subroot, h AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM up WHERE len(nodes) = 1),
+        top AS (
+            SELECT 0 AS h, list(subroot ORDER BY t) AS nodes FROM subroots
+            UNION ALL
+            SELECT h + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], ''))) FROM top WHERE len(nodes) > 1),
+        whole AS (SELECT nodes[1] AS root, h AS height FROM top WHERE len(nodes) = 1),
+        steps AS (
+            SELECT p.lang, p.i, u.h AS step, (p.i >> u.h) & 1 AS odd, u.nodes[xor(p.i >> u.h, 1) + 1] AS sibling
+            FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN up u ON u.lang IS NOT DISTINCT FROM p.lang AND u.h < s.height
+            UNION ALL
+            SELECT p.lang, p.i, s.height + u.h, (s.t >> u.h) & 1, u.nodes[xor(s.t >> u.h, 1) + 1]
+            FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN whole w JOIN top u ON u.h < w.height),
+        listed AS (SELECT lang, i, list({'odd': odd, 'sibling': sibling} ORDER BY step) AS path, string_agg(coalesce(sibling, ''), '' ORDER BY step) AS siblings FROM steps GROUP BY lang, i),
+        crcs AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+                   lambda c, b: list_reduce(list_concat([xor(c, b)], CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
+                 FROM (SELECT DISTINCT doc_id FROM documents)),
+        shown AS (SELECT p.doc_id, p.lang, p.leaf, coalesce(l.siblings, '') AS siblings, coalesce(l.path, []) AS path, CASE WHEN c.crc % 7 = 0 THEN p.other ELSE p.leaf END AS shown
+                  FROM placed p LEFT JOIN listed l ON p.lang IS NOT DISTINCT FROM l.lang AND p.i = l.i JOIN crcs c ON c.doc_id IS NOT DISTINCT FROM p.doc_id),
+        folds AS (SELECT *, list_reduce(list_concat([{'odd': CAST(0 AS BIGINT), 'sibling': shown}], path), lambda y, s: {'odd': CAST(0 AS BIGINT), 'sibling':
+                    sha256(CASE WHEN s.sibling IS NULL THEN y.sibling WHEN s.odd = 1 THEN s.sibling || y.sibling ELSE y.sibling || s.sibling END)}).sibling AS folded_root FROM shown)
+        SELECT f.doc_id, f.leaf, s.subroot, w.root, sha256(f.siblings) AS proof_sha256, f.folded_root, f.folded_root = w.root AS verified
+        FROM folds f JOIN subroots s ON f.lang IS NOT DISTINCT FROM s.lang CROSS JOIN whole w
+    """,
 }

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import accumulate
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -56,6 +58,27 @@ def settle(df: DataFrame) -> DataFrame:
     return counted(df)[0]
 
 
+def ordered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df's rows with their place from 0 in this order as column `name`: ranges are sorted side by side, then moved by the number of rows before them.
+
+    Rows that are equal in `order` get places in any order, kept from then on. The driver gets one number for each partition.
+    """
+    bits = 33  # of the row's number within its partition, as Spark defines the function
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+    sizes = sorted(rows.groupBy(F.shiftright(name, bits).cast("int").alias("p")).count().collect())
+    before = dict(zip([p for p, _ in sizes], accumulate([n for _, n in sizes], initial=0), strict=False))
+    part = df.sparkSession.createDataFrame(list(before.items()), "_p int, _n long")
+    rows = rows.join(F.broadcast(part), F.shiftright(name, bits).cast("int") == F.col("_p"))
+    return rows.withColumn(name, F.col("_n") + F.col(name).bitwiseAND(F.lit((1 << bits) - 1))).drop("_p", "_n")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as a table in the shared folder and read again, for wide rows of which later steps read some columns."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "none").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, whatever its case rules."""
     have = {c.lower() for c in df.columns}
