@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, language, lines, manifest, merkle, mix, pack, shared, simhash, toxicity, warc
+from . import chat, exact, language, lines, manifest, merkle, mix, pack, phrases, shared, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +118,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leaf shows its own digest, or, where 7 divides the crc32 of doc_id, that of a row with n_chars one larger."""
     fields = [F.col(x).cast("long") if x == "doc_id" else F.col(x) for x in manifest.FIELDS]
@@ -137,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_collocations": op11_collocations,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
@@ -159,6 +164,20 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
         FROM d WINDOW w AS (PARTITION BY h)
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        runs AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists CROSS JOIN range(1, 6) t(k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, w[i : i + k - 1] AS p, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 100),
+        totals AS (SELECT lang, sum(len(w)) AS n FROM lists GROUP BY lang),
+        cuts AS (SELECT x.lang, x.k, x.p, x.a, y.a AS l, z.a AS r, t.n, j, CAST(1000 AS HUGEINT) * x.a * t.n // (CAST(y.a AS HUGEINT) * z.a) AS score
+                 FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) x JOIN f y ON y.lang = x.lang AND y.p = x.p[1 : j] JOIN f z ON z.lang = x.lang AND z.p = x.p[j + 1 : x.k] JOIN totals t ON t.lang = x.lang),
+        least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+        wider AS (SELECT lang, a, unnest([p[1 : k - 1], p[2 : k]]) AS p FROM f WHERE k > 2),
+        kept AS (SELECT *, array_to_string(p, ' ') AS phrase FROM least x WHERE NOT EXISTS (SELECT 1 FROM wider y WHERE y.lang = x.lang AND y.p = x.p AND y.a >= x.a)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+    """,
     "op12_merkle_manifest": """
         WITH RECURSIVE f AS (
             SELECT doc_id, lang, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
