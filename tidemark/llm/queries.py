@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, language, lines, manifest, merkle, mix, pack, phrases, shared, simhash, toxicity, warc
+from . import chat, exact, join, language, lines, manifest, merkle, mix, pack, phrases, shared, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,6 +130,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify(made).drop("proof")
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_packing": op1_bm25_packing,
     "op2_mix_sources": op2_mix_sources,
@@ -143,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_collocations": op11_collocations,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
@@ -213,4 +218,15 @@ ORACLE: dict[str, str] = {
         SELECT f.doc_id, f.leaf, s.subroot, w.root, sha256(f.siblings) AS proof_sha256, f.folded_root, f.folded_root = w.root AS verified
         FROM folds f JOIN subroots s ON f.lang IS NOT DISTINCT FROM s.lang CROSS JOIN whole w
     """,
+    "op13_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT row, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w),
+        e AS (SELECT row, unnest(g) AS x FROM s),
+        p AS (SELECT a.row AS a, b.row AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.row < b.row GROUP BY ALL),
+        links AS (SELECT p.a, p.b FROM p JOIN s x ON x.row = p.a JOIN s y ON y.row = p.b WHERE 100 * c >= 80 * (len(x.g) + len(y.g) - c)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT row, row AS r FROM s UNION SELECT reach.row, ways.b FROM reach JOIN ways ON ways.a = reach.r)
+        SELECT s.doc_id, CAST(len(any_value(s.g)) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id FROM s JOIN reach ON reach.row = s.row JOIN s t ON t.row = reach.r GROUP BY s.row, s.doc_id
+    """,
 }
