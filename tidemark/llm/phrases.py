@@ -5,9 +5,10 @@ phrase of k words is a candidate only if it occurs and both its parts of k - 1 w
 
 1. words are counted, and frequent ones get numbers; texts are written once as numbers, with 0 for all else;
 2. pairs of frequent words are counted where they are found: nothing smaller than all of them is safe;
-3. for k = 3, 4, 5 the trie of frequent (k - 1)-phrases lists the words that follow them, a join keeps the phrases
-   whose second part is frequent too, and the trie of what is left is broadcast: numpy moves the states of all text
-   positions on by one word at a time, counts the accepting states, and the shards' counts are summed.
+3. for k = 3, 4, 5 the trie of frequent (k - 1)-phrases lists the words that follow them and how often a task saw them;
+   a join keeps the phrases whose second part is frequent too and that were seen often enough, and their trie is
+   broadcast: numpy moves the states of all text positions on by one word at a time, counts the accepting states, and
+   the shards' counts are summed.
 
 Words and candidates go to tasks in shards of bounded size, one after the other, so no broadcast grows with the data.
 A word is known by 64 bits; if two words are found to share them, other hashes are taken.
@@ -33,9 +34,11 @@ if TYPE_CHECKING:
 #: Occurrences from which a phrase counts, and words of the longest phrase.
 LEAST, LONGEST = 100, 5
 #: Words that one broadcast numbers, and phrases that one broadcast trie holds.
-WORDS, PHRASES = 1 << 20, 1 << 18
-#: Bytes of text looked at together; longer texts are cut at ends of pieces. Positions counted together.
-BLOCK, POSITIONS = 1 << 22, 1 << 22
+WORDS, PHRASES = 1 << 20, 1 << 19
+#: Bytes of text looked at together; longer texts are cut at ends of pieces. Positions looked at together.
+BLOCK, POSITIONS = 1 << 20, 1 << 21
+#: Sums that a task holds before it gives them away.
+HELD = 1_500_000
 #: Attempts with other hashes if two words should have the same.
 SEEDS = (42, 43, 44, 45)
 #: What stands for a null language.
@@ -117,6 +120,34 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
                 yield x, block
 
 
+class Sums:
+    """Sums by key of what a task has seen, given away when they are many."""
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.n: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> bool:
+        """Whether so many are held that they should be taken."""
+        self.keys.append(keys)
+        self.n.append(n)
+        self.size += len(keys)
+        if self.size < HELD:
+            return False
+        keys, n = self.take()
+        self.keys, self.n, self.size = [keys], [n], len(keys)
+        return self.size >= HELD // 2
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = np.concatenate([np.zeros(0, np.int64), *self.keys]), np.concatenate([np.zeros(0, np.int64), *self.n])
+        self.keys, self.n, self.size = [], [], 0
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def words(docs: DataFrame, seed: int) -> DataFrame:
     """(lang, word, h, n) of all words of docs (lang, text); n is their number."""
 
@@ -124,12 +155,26 @@ def words(docs: DataFrame, seed: int) -> DataFrame:
         import pyarrow as pa
 
         hashes = Hashes(seed)
+        spelt: dict[int, tuple[str, bytes]] = {}
+        sums = Sums()
+
+        def give() -> pa.RecordBatch:
+            h, n = sums.take()
+            found = [spelt[x] for x in h.tolist()]
+            spelt.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.binary()).cast(pa.string()), pa.array(h), pa.array(n)], names=["lang", "word", "h", "n"])
+
         for lang, block in _by_lang(batches):
             data, start, end, h, _ = hashes.words(block, _number(lang))
             h, at, n = np.unique(h, return_index=True, return_counts=True)
             raw = data.tobytes()
-            word = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(h), pa.array(n.astype(np.int64))], names=["lang", "word", "h", "n"])
+            for x, a, b in zip(h.tolist(), start[at].tolist(), end[at].tolist(), strict=True):
+                if x not in spelt:
+                    spelt[x] = (lang, raw[a:b])
+            sums.add(h, n.astype(np.int64))
+            if len(spelt) >= HELD // 5:
+                yield give()
+        yield give()
 
     rows = docs.mapInArrow(run, "lang string, word string, h long, n long")
     return rows.groupBy("lang", "word").agg(F.max("h").alias("h"), F.sum("n").alias("n"))
@@ -199,12 +244,16 @@ def pairs(texts: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
+        sums = Sums()
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in sums.take()], names=["code", "n"])
         for c in _positions(batches):
             both = (c[:-1] > 0) & (c[1:] > 0)
             code, n = np.unique((c[:-1][both].astype(np.int64) << 32) | c[1:][both], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+            if sums.add(code, n.astype(np.int64)):
+                yield give()
+        yield give()
 
-    # A shard gives a pair at most once, so there is nothing to combine before the shuffle.
+    # Tasks have added up what they could, so there is nothing to combine before the shuffle.
     rows = texts.mapInArrow(run, "code long, n long").repartition("code").groupBy("code").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     return rows.select(F.shiftright("code", 32).cast("int").alias("w0"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("w1"), "a")
 
@@ -291,8 +340,8 @@ def _columns(found: np.ndarray, *more: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(x)) for x in (*found.T, *more)]
 
 
-def longer(texts: DataFrame, some: DataFrame, k: int) -> DataFrame:
-    """(w0, ...) phrases of k words that occur and whose parts of k - 1 words are all in some."""
+def longer(texts: DataFrame, some: DataFrame, k: int, least: int) -> DataFrame:
+    """(w0, ...) phrases of k words whose parts of k - 1 words are all in some, and that tasks together saw at least so often."""
     names = [f"w{j}" for j in range(k)]
     listed = []
     for t, whole in _tries(some, k - 1):
@@ -301,6 +350,12 @@ def longer(texts: DataFrame, some: DataFrame, k: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared, whole=whole) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             import pyarrow as pa
 
+            sums = Sums()
+
+            def give() -> pa.RecordBatch:
+                code, n = sums.take()
+                return pa.RecordBatch.from_arrays(_columns(shared.value.phrases[code >> 32], (code & 0xFFFFFFFF).astype(np.int32), n), names=[*names, "n"])
+
             for c in _positions(batches):
                 at, number = shared.value.find(c)
                 follows = np.append(c, np.zeros(k, np.int32))[at + k - 1]
@@ -309,10 +364,13 @@ def longer(texts: DataFrame, some: DataFrame, k: int) -> DataFrame:
                     begins = np.zeros(len(c) + 1, bool)
                     begins[at] = True
                     ok &= begins[at + 1]
-                code = np.unique((number[ok].astype(np.int64) << 32) | follows[ok])
-                yield pa.RecordBatch.from_arrays(_columns(shared.value.phrases[code >> 32], (code & 0xFFFFFFFF).astype(np.int32)), names=names)
+                code, n = np.unique((number[ok].astype(np.int64) << 32) | follows[ok], return_counts=True)
+                if sums.add(code, n.astype(np.int64)):
+                    yield give()
+            yield give()
 
-        listed.append(cut(texts.mapInArrow(run, ", ".join(f"{x} int" for x in names)).distinct()))
+        rows = texts.mapInArrow(run, ", ".join([*(f"{x} int" for x in names), "n long"]))
+        listed.append(cut(rows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*names)))
         shared.unpersist()
     if not listed:
         return some.select("*", F.lit(0).alias(names[-1])).select(*names).limit(0)
@@ -376,7 +434,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int | None = 2000) ->
     texts = numbered(rows, [shard(s) for s in range(0, max(amount, 1), WORDS)], seed)
     levels = [frequent.select(F.col("number").alias("w0"), F.col("n").alias("a")), cut(pairs(texts, least))]
     for k in range(3, LONGEST + 1):
-        levels.append(counted(texts, longer(texts, levels[-1], k), k, least))
+        levels.append(counted(texts, longer(texts, levels[-1], k, least), k, least))
     parts = cut(reduce(DataFrame.union, [x.select(F.array(*[f"w{j}" for j in range(k)]).alias("p"), F.col("a").alias("f")) for k, x in enumerate(levels, 1)]))
     found = parts.where(F.size("p") > 1)
     wider = parts.where(F.size("p") > 2).select(F.explode(F.array(F.expr("slice(p, 1, size(p) - 1)"), F.expr("slice(p, 2, size(p) - 1)"))).alias("p"), "f")
