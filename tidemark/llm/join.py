@@ -16,7 +16,7 @@ transpose holds the sizes of all intersections; it is never made in full:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 from typing import TYPE_CHECKING
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lines import SKETCH, _may_be_alike
-from .shared import bucket_components, cut, join_hot, join_sized, stored
+from .shared import bucket_components, cut, join_hot, join_sized, merged, stored
 from .simhash import shingle_hashes
 
 if TYPE_CHECKING:
@@ -98,106 +98,111 @@ def _frequent(rows: DataFrame) -> np.ndarray:
     return np.sort(found.orderBy(F.desc("n"), "col").limit(LAST).toPandas()["col"].to_numpy(np.int64))
 
 
-def _firsts(last: np.ndarray, percent: int) -> Callable[[np.ndarray], np.ndarray]:
-    """The columns of a row that are multiplied: the first ones, those in `last` coming after all others."""
-
-    def pick(x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return x
-        late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x if len(last) else np.zeros(len(x), bool)
-        return np.concatenate([x[~late], x[late]])[: int(_need(np.array(len(x)), percent))]
-
-    return pick
-
-
-def _columns(rows: DataFrame, last, percent: int) -> DataFrame:  # noqa: ANN001
-    """(col, n): the rows' first columns, with their number of rows, by blocks of the matrix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-
-        pick = _firsts(last.value, percent)
-        for batch in batches:
-            col, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(pick, _rows(batch)[1])]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(col), pa.array(n.astype(np.int64))], names=["col", "n"])
-
-    return rows.select("row", "cols").mapInArrow(run, "col long, n long")
-
-
-def _entries(rows: DataFrame, last, wanted: DataFrame, number: int, percent: int) -> DataFrame:  # noqa: ANN001
-    """(col, n, row, size) of the first columns that are wanted (col, n)."""
-    few = wanted.sparkSession.sparkContext.broadcast(np.sort(wanted.select("col").toPandas()["col"].to_numpy(np.int64))) if number <= FETCH_ROWS else None
+def _entries(rows: DataFrame, last, percent: int) -> DataFrame:  # noqa: ANN001
+    """(late, col, row, size): the columns of each row that are multiplied, the first in the order; late ones are in `last`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        pick = _firsts(last.value, percent)
-        for batch in batches:
+        known = last.value
+        for batch in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
             row, sets = _rows(batch)
-            part = [pick(x) for x in sets]
-            col = np.concatenate([np.zeros(0, np.int64), *part])
-            of = np.repeat(np.arange(len(row)), [len(x) for x in part])
-            if few is not None:
-                some = few.value[np.minimum(np.searchsorted(few.value, col), len(few.value) - 1)] == col if len(few.value) else np.zeros(len(col), bool)
-                col, of = col[some], of[some]
             size = np.array([len(x) for x in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(col), pa.array(row[of]), pa.array(size[of])], names=["col", "row", "size"])
-
-    return join_sized(rows.select("row", "cols").mapInArrow(run, "col long, row long, size long"), wanted, ["col"], "inner", number, FETCH_ROWS)
+            col = np.concatenate([np.zeros(0, np.int64), *sets])
+            of = np.repeat(np.arange(len(row)), size)
+            late = known[np.minimum(np.searchsorted(known, col), len(known) - 1)] == col if len(known) else np.zeros(len(col), bool)
+            order = np.lexsort((late, of))  # stable: columns ascend among the early and the late ones of a row
+            begin = np.cumsum(size) - size
+            first = np.arange(len(col)) - begin[of] < _need(size, percent)[of]
+            some = order[first]
+            col, of, late = col[some], of[some], late[some]
+            yield pa.RecordBatch.from_arrays([pa.array(late), pa.array(col), pa.array(row[of]), pa.array(size[of].astype(np.int32))], names=["late", "col", "row", "size"])
+
+    return rows.select("row", "cols").mapInArrow(run, "late boolean, col long, row long, size int")
+
+
+def _outer(block: np.ndarray, percent: int) -> np.ndarray:
+    """(a, b, size of a, size of b, met) of (col, row, size) sorted by col: pairs whose sizes allow a link, with the number of columns they share."""
+    found = [np.zeros((4, 0), np.int64)]
+    for gap in range(1, FEW):
+        same = block[0, gap:] == block[0, :-gap]
+        if not same.any():
+            break
+        x, y = block[1:, :-gap][:, same], block[1:, gap:][:, same]
+        ok = np.minimum(x[1], y[1]) * 100 >= percent * np.maximum(x[1], y[1])
+        x, y = x[:, ok], y[:, ok]
+        swap = x[0] > y[0]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        found.append(np.array([x[0], y[0], x[1], y[1]]))
+    pairs = np.concatenate(found, axis=1)
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+    first = np.flatnonzero(np.append(True, (pairs[:2, 1:] != pairs[:2, :-1]).any(0))[: pairs.shape[1]])
+    return np.concatenate([pairs[:, first], np.diff(np.append(first, pairs.shape[1]))[None, :]])
 
 
 def _product(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b, met) of entries (col, row, size) of columns with few rows: pairs whose sizes allow a link, and how often each meets in a block of columns."""
+    """Blocks of columns, multiplied: rows (a, b, na, nb, met) for pairs, and (a, na, col) for the entries of columns with more than FEW rows."""
+    names = ["a", "b", "na", "nb", "met", "col"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        rest = np.zeros((3, 0), np.int64)
+        def crowd(x: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(x.shape[1], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x[1]), none, pa.array(x[2]), none, none, pa.array(x[0])], names=names)
+
+        rest, over = np.zeros((3, 0), np.int64), None
         for batch in chain(batches, [None]):
-            new = rest if batch is None else np.concatenate([rest, np.array([c.to_numpy() for c in batch.columns])], axis=1)
-            col = new[0]
-            # The last column may go on in the next batch; it has few rows.
-            whole = len(col) if batch is None else int(np.searchsorted(col, col[-1])) if len(col) else 0
-            rest, block = new[:, whole:], new[:, :whole]
-            found = []
-            for gap in range(1, FEW):
-                if block.shape[1] <= gap:
-                    break
-                same = block[0, gap:] == block[0, :-gap]
-                if not same.any():
-                    break
-                x, y = block[1:, :-gap][:, same], block[1:, gap:][:, same]
-                ok = np.minimum(x[1], y[1]) * 100 >= percent * np.maximum(x[1], y[1])
-                found.append(np.array([np.minimum(x[0], y[0])[ok], np.maximum(x[0], y[0])[ok], np.where(x[0] < y[0], x[1], y[1])[ok], np.where(x[0] < y[0], y[1], x[1])[ok]]))
-            if found:
-                pairs = np.concatenate(found, axis=1)
-                order = np.lexsort((pairs[1], pairs[0]))
-                pairs = pairs[:, order]
-                first = np.flatnonzero(np.append(True, (pairs[:2, 1:] != pairs[:2, :-1]).any(0))[: pairs.shape[1]])
-                met = np.diff(np.append(first, pairs.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*pairs[:, first], met)], names=["a", "b", "na", "nb", "met"])
-
-    return entries.select("col", "row", "size").repartition("col").sortWithinPartitions("col").mapInArrow(run, "a long, b long, na long, nb long, met long")
+            if batch is not None:
+                late, *new = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                new = np.array(new, np.int64)
+                if late.any():
+                    yield crowd(new[:, late])
+                rest = np.concatenate([rest, new[:, ~late]], axis=1)
+            # The last column may go on in the next batch, of which this keeps no more than FEW rows.
+            whole = rest.shape[1] if batch is None else int(np.searchsorted(rest[0], rest[0, -1])) if rest.shape[1] else 0
+            if over is not None:
+                to = int(np.searchsorted(rest[0], over, "right"))
+                if to:
+                    yield crowd(rest[:, :to])
+                rest, whole = rest[:, to:], max(whole - to, 0)
+            block, rest = rest[:, :whole], rest[:, whole:]
+            if rest.shape[1] > FEW:
+                yield crowd(rest)
+                over, rest = int(rest[0, 0]), rest[:, :0]
+            if whole:
+                first = np.flatnonzero(np.append(True, block[0, 1:] != block[0, :-1]))
+                many = np.repeat(np.diff(np.append(first, whole)) > FEW, np.diff(np.append(first, whole)))
+                if many.any():
+                    yield crowd(block[:, many])
+                pairs = _outer(block[:, ~many], percent)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, pairs), pa.nulls(pairs.shape[1], pa.int64())], names=names)
+
+    # A column's entries come together, those of a frequent one stay dealt out by row.
+    dealt = entries.repartition(F.when(F.col("late"), F.col("row")).otherwise(F.col("col"))).sortWithinPartitions("late", "col")
+    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def links(rows: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the rows (row, size, cols), all sets different, that are linked to others."""
     last = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
-    # A batch gives a column at most once, so there is little to combine before the shuffle.
-    shared = cut(_columns(rows, last, percent).repartition("col").groupBy("col").agg(F.sum("n").alias("n")).where("n > 1"))
-    number = shared.count()
-    entries = cut(_entries(rows, last, shared, number, percent))
-    crowd = entries.where(F.col("n") > FEW)
+    made = cut(_product(_entries(rows, last, percent), percent))
+    crowd = made.where("b is null").select("col", F.col("a").alias("row"))
     crowded = cut(crowd.groupBy("row").agg(F.count("*").alias("k")))
-    met = _product(entries.where(F.col("n") <= FEW), percent).groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
+    met = made.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     of = lambda x: crowded.select(F.col("row").alias(x), F.col("k").alias(f"k{x}"))
     met = met.join(of("a"), "a", "left").join(of("b"), "b", "left")
     # Of two rows, the one whose first columns end earlier has met the other in all that both have up to there.
     beyond = lambda n: F.ceil(F.col(n) * percent / 100) - 1
     most = F.col("met") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) + F.greatest(beyond("na"), beyond("nb"))
-    pairs = cut(met.where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).union(crowd.select("row")).distinct())
-    sets = cut(join_sized(rows.select("row", "size", "cols"), wanted, ["row"], "left_semi", wanted.count(), FETCH_ROWS))
+    pairs = cut(met.where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "met"))
+    # Whole rows are compared for each row's likeliest pair first, then only across the components that these leave.
+    likely = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b"))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        """The whole rows of these numbers (row)."""
+        nodes = cut(nodes.distinct())
+        return join_sized(rows.select("row", "size", "cols"), nodes, ["row"], "left_semi", nodes.count(), FETCH_ROWS)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -211,8 +216,12 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("row").alias(x), F.col("size").alias(f"n{x}"), F.col("cols").alias(f"c{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        size = lambda x: rows.select(F.col("row").alias(x), F.col("size").alias(f"n{x}"))
+        pairs = pairs.join(size("a"), "a").join(size("b"), "b")
+        pairs = cut(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
+        every = sets(pairs.select(F.explode(F.array("a", "b")).alias("row")))
+        side = lambda x: every.select(F.col("row").alias(x), F.col("cols").alias(f"c{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.select("a", "b", "ca", "cb").mapInArrow(check, "a long, b long")
 
     marks = ["size", *[f"s{k}" for k in range(SKETCH)]]
@@ -228,16 +237,19 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
                 out[1:, k] = np.packbits((np.bincount(x & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(row), *map(pa.array, out)], names=["node", *marks])
 
-    def sketched(rows: DataFrame) -> DataFrame:
-        some = sets.join(rows.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
-        return rows.join(some.select("row", "cols").mapInArrow(sketch, ", ".join(f"{x} long" for x in ["node", *marks])), "node")
+    def sketched(placed: DataFrame) -> DataFrame:
+        some = sets(placed.select(F.col("node").alias("row")))
+        return placed.join(some.select("row", "cols").mapInArrow(sketch, ", ".join(f"{x} long" for x in ["node", *marks])), "node")
 
     def near(left: str, right: str) -> Column:
         sizes = F.least(f"{left}.size", f"{right}.size") * 100 >= F.greatest(f"{left}.size", f"{right}.size") * percent
         return sizes & _may_be_alike(left, right, percent / 100)
 
-    buckets = crowd.select(F.col("col").alias("key"), F.col("row").alias("node"), "n")
-    return bucket_components(buckets, verify, where=near, attach=sketched, counted=True, pairs=pairs)
+    buckets = crowd.select(F.col("col").alias("key"), F.col("row").alias("node"))
+    found = bucket_components(buckets, verify, where=near, attach=sketched, counted=True, pairs=likely)
+    of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"{x}c"))
+    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
+    return merged(found, verify(rest.join(likely, ["a", "b"], "left_anti")))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
