@@ -117,12 +117,6 @@ def test_contradictions(spark):
     assert [r.c for r in df.collect()] == [w for *_, w in pairs]
 
 
-def test_atoms(spark):
-    rows = [(1, "p", "s", "q", "red", "fact", 0.9, 1), (2, "p", "s", "q", " RED ", "fact", 0.9, 2), (3, "p", "s", "q", "blue", "fact", 0.2, 3), (4, "p", "s", "q", "blue", "fact", 0.8, 4), (5, "p", "s", "q", "party", "event", 0.9, 5)]
-    got = {r.id: (r.status, r.old_id) for r in knowledge.fold_atoms(spark.createDataFrame(rows, "id long, project string, subject string, predicate string, value string, type string, confidence double, asserted long")).collect()}
-    assert got == {1: ("fresh", None), 2: ("duplicate", None), 3: ("fresh", None), 4: ("supersedes", 1), 5: ("fresh", None)}
-
-
 def test_tuner_keeps_the_sum(spark):
     df = spark.createDataFrame([("p", "stale_ranking", 50, 0.8, 0.1), ("q", "stale_ranking", 5, 0.8, 0.1), ("r", "other", 50, 0.8, 0.1)], "project string, top_class string, total long, top_share double, next_share double")
     rows = knowledge.tuned(df).collect()

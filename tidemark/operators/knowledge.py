@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,32 +71,3 @@ def tuned(dominant: DataFrame, least_events: int = 20, share: float = 0.40, marg
     even = F.abs("_rest") < 1e-9
     new = {k: F.when(even, F.col(k)).otherwise(F.least(F.greatest(F.col(k) + F.col("_rest") * F.col(f"_room_{k}") / F.nullif(F.col("_all"), F.lit(0.0)), F.lit(low)), F.lit(high))) for k, (low, high) in BOUNDS.items()}
     return df.withColumns(new).drop("_rest", "_all", *[f"_room_{k}" for k in BOUNDS])
-
-
-def fold_atoms(atoms: DataFrame, tolerance: float = 0.2) -> DataFrame:
-    """Status of each atom (project, subject, predicate, value, type, confidence, asserted, id) in its key's history.
-
-    In order of assertion: a value that is current already is a duplicate; an event, or one that is surer by less than the tolerance allows, is fresh and
-    changes nothing; any other supersedes the current atom. The order matters, so each key is folded in one place; a key
-    is one subject's predicate.
-    """
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        now, out = None, []
-        for row in part.sort_values(["asserted", "id"]).itertuples():
-            if now is None:
-                status = "fresh"
-                now = None if row.type == "event" else row
-            elif str(row.value).strip().lower() == str(now.value).strip().lower():
-                status = "duplicate"
-            elif row.type == "event" or row.confidence + tolerance + 1e-9 < now.confidence:
-                status = "fresh"
-            else:
-                status = "supersedes"
-                out.append((row.id, status, now.id))
-                now = row
-                continue
-            out.append((row.id, status, None))
-        return pd.DataFrame(out, columns=["id", "status", "old_id"]).astype({"old_id": "Int64"})
-
-    return atoms.groupBy("project", "subject", "predicate").applyInPandas(fold, "id long, status string, old_id long")

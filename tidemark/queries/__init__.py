@@ -1,3 +1,3 @@
 """The registered queries. Importing this package registers all of them."""
 
-from tidemark.queries import analytics, history, retrieval, states  # noqa: F401
+from tidemark.queries import analytics, documents, history, retrieval, states  # noqa: F401

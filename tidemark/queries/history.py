@@ -133,11 +133,3 @@ def weight_tuner(spark: SparkSession, sf: str) -> DataFrame:
     """With low thresholds, as the events' classes are about even."""
     d = knowledge.tuned(A.failure_dominance(X.events(spark, sf), X.now()), 20, 0.2, 0.0001)
     return d.select("project", "top_class", *[r6(k).alias(k) for k in _B])
-
-
-@query()
-def atom_supersession(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as assertions of a user's value: order matters, so each key is folded in order."""
-    e = X.table(spark, sf, "events")
-    atoms = e.select(F.col("event_id").alias("id"), F.lit("p").alias("project"), F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"), F.floor(F.col("value") / 25).cast("string").alias("value"), F.lit("fact").alias("type"), (F.col("event_id") % 10 / 10.0).alias("confidence"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("asserted"))
-    return knowledge.fold_atoms(atoms)

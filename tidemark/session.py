@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +21,11 @@ def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place below the folder that spark.checkpoint.dir names, which driver and executors share; on one machine without it a temporary one."""
+    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='tidemark-')}/{name}-{uuid.uuid4().hex}"
