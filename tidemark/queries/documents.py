@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixtures as X
 from tidemark.functions.stem import stems_sql
-from tidemark.operators import atoms, index, records as M, spans
+from tidemark.operators import ann, atoms, index, records as M, spans
 from tidemark.registry import query
 from tidemark.session import new_folder
 
@@ -106,3 +106,16 @@ def compacted_index_search(spark: SparkSession, sf: str) -> DataFrame:
     index.update(live.where("id % 3 = 0"), live.where("id % 17 = 5").select("id"), path)
     index.compact(spark, path, to)
     return index.search(X.queries(spark, sf), to, 10)
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+@query()
+def ivfpq_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors with id divisible by 20 against all, through cells and codes; tests hold its recall against the exact search."""
+    v, path = vectors(spark, sf), new_folder(spark, "cells")
+    ann.build(v, path, ann.train(v))
+    found = ann.search(X.query_vectors(spark, sf), v, path, 10, ann.probes_for(v, path))
+    return found.select("query_id", F.col("id").alias("chunk_id"), "cosine", "rank")
