@@ -270,6 +270,7 @@ class Trie:
     def find(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, phrase's number) of all occurrences; all positions go on by one word at a time."""
         k = self.phrases.shape[1]
+        c = np.where(c <= self.phrases.max(initial=0), c, 0)  # larger words are in no phrase, and no place is theirs
         at = np.flatnonzero(c[: max(len(c) - k + 1, 0)])
         state = np.zeros(len(at), np.int32)
         for d in range(k):

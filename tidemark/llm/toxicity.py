@@ -136,12 +136,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents of each class, those with the smallest hash of doc_id and text.
 
-    docs: (doc_id, text); labels: (doc_id, toxic), null labels left out, of repeated ones the largest.
+    docs: (doc_id, text); labels: (doc_id, toxic), null labels left out, of repeated ones the largest. Only the labels of
+    docs' own rows are looked at, so what is held out of docs can't change the model.
     """
     marks = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("label"))
     known = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(marks, "_id")
     order = F.xxhash64(F.lit(11), "_id")
-    picked = [marks.where(F.col("label") == k).orderBy(order, "_id").limit(sample) for k in (0, 1)]
+    ids = known.select("_id", "label").distinct()  # labels of documents that aren't given have no part in this
+    picked = [ids.where(F.col("label") == k).orderBy(order, "_id").limit(sample) for k in (0, 1)]
     rows = known.join(picked[0].union(picked[1]).select("_id"), "_id", "left_semi").orderBy(F.xxhash64(F.lit(12), "_id", "text")).limit(2 * sample)
     return fit(cut(rows.select("text", "label").repartition(PARTS)))
 
