@@ -56,13 +56,14 @@ def spoken():
     return [*rows, rows[3], rows[3], (None, "the old mill. the OLD mill", "en", None, None, 1, 2, "z"), (500, None, "en", "s", 0, 1, 2, "z"), (501, "", None, "s", 0, 1, 2, "z")]
 
 
-@pytest.mark.parametrize(("block", "held", "shard"), [(1 << 20, 1_500_000, 1 << 19), (64, 50, 7)])
+@pytest.mark.parametrize(("block", "held", "shard"), [(1 << 20, 1_000_000, 1 << 19), (64, 64, 7)])
 def test_collocations(spark, spoken, monkeypatch, block, held, shard):
     monkeypatch.setattr(phrases, "BLOCK", block)
     monkeypatch.setattr(phrases, "HELD", held)
     monkeypatch.setattr(phrases, "PHRASES", shard)
     monkeypatch.setattr(phrases, "POSITIONS", block)
     monkeypatch.setattr(phrases, "WORDS", shard)
+    monkeypatch.setattr(phrases, "BUCKETS", min(held, 1 << 16))
     df = spark.createDataFrame(spoken, SCHEMA).repartition(5)
     for least, top in ((4, 2000), (9, 6)):
         got = sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in phrases.collocations(df, least, top).collect())

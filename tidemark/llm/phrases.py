@@ -5,8 +5,8 @@ phrase of k words is a candidate only if it occurs and both its parts of k - 1 w
 
 1. words are counted, and frequent ones get numbers; texts are written once as numbers, with 0 for all else;
 2. pairs of frequent words are counted where they are found: nothing smaller than all of them is safe;
-3. for k = 3, 4, 5 the trie of frequent (k - 1)-phrases lists the words that follow them and how often a task saw them;
-   a join keeps the phrases whose second part is frequent too and that were seen often enough, and their trie is
+3. for k = 3, 4, 5 the trie of frequent (k - 1)-phrases finds the words that follow them, first to count them in hashed
+   buckets, of which few are full, then to list those of full buckets and how often a task saw them; a join keeps the phrases whose second part is frequent too and that were seen often enough, and their trie is
    broadcast: numpy moves the states of all text positions on by one word at a time, counts the accepting states, and
    the shards' counts are summed.
 
@@ -36,9 +36,11 @@ LEAST, LONGEST = 100, 5
 #: Words that one broadcast numbers, and phrases that one broadcast trie holds.
 WORDS, PHRASES = 1 << 20, 1 << 19
 #: Bytes of text looked at together; longer texts are cut at ends of pieces. Positions looked at together.
-BLOCK, POSITIONS = 1 << 20, 1 << 21
+BLOCK, POSITIONS = 1 << 20, 1 << 20
 #: Sums that a task holds before it gives them away.
-HELD = 1_500_000
+HELD = 1_000_000
+#: Counters of hashed phrases, and of a row of them.
+BUCKETS, ROW = 1 << 21, 1 << 16
 #: Attempts with other hashes if two words should have the same.
 SEEDS = (42, 43, 44, 45)
 #: What stands for a null language.
@@ -341,14 +343,67 @@ def _columns(found: np.ndarray, *more: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(x)) for x in (*found.T, *more)]
 
 
+def _follows(t: Trie, whole: bool, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, word): the phrases of the trie that stand in c with the word after each; if the trie is whole, where it accepts the next k - 1 words too."""
+    at, number = t.find(c)
+    word = np.append(c, np.zeros(k, np.int32))[at + k - 1]
+    ok = word > 0
+    if whole:
+        begins = np.zeros(len(c) + 1, bool)
+        begins[at] = True
+        ok &= begins[at + 1]
+    return number[ok].astype(np.int64), word[ok].astype(np.int64)
+
+
+def _bucket(number: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = (number.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def _full(texts: DataFrame, shared, whole: bool, k: int, least: int) -> np.ndarray:  # noqa: ANN001
+    """Which buckets of hashed phrases of k words have at least so many occurrences: a phrase of another bucket has fewer.
+
+    Each task counts in a table of one size, and tables are added up row by row.
+    """
+
+    kind = np.uint8 if least < 256 else np.int32
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        n = np.zeros(BUCKETS, np.int32)
+        for c in _positions(batches):
+            bucket, found = np.unique(_bucket(*_follows(shared.value, whole, c, k)), return_counts=True)
+            n[bucket] += found.astype(np.int32)
+        n = np.minimum(n, least).astype(kind).reshape(-1, min(ROW, BUCKETS))  # what is enough once is enough
+        some = np.flatnonzero(n.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([n[i].tobytes() for i in some], pa.binary())], names=["row", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[row] = sums.get(row, 0) + np.frombuffer(n.as_buffer(), kind).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.packbits(x >= least).tobytes() for x in sums.values()], pa.binary())], names=["row", "full"])
+
+    rows = texts.mapInArrow(count, "row long, n binary").repartition("row").mapInArrow(add, "row long, full binary")
+    full = np.zeros((BUCKETS // min(ROW, BUCKETS), min(ROW, BUCKETS)), bool)
+    for r in rows.collect():  # BUCKETS bits
+        full[r.row] = np.unpackbits(np.frombuffer(r.full, np.uint8))[: full.shape[1]]
+    return full.ravel()
+
+
 def longer(texts: DataFrame, some: DataFrame, k: int, least: int) -> DataFrame:
     """(w0, ...) phrases of k words whose parts of k - 1 words are all in some, and that tasks together saw at least so often."""
     names = [f"w{j}" for j in range(k)]
     listed = []
     for t, whole in _tries(some, k - 1):
         shared = texts.sparkSession.sparkContext.broadcast(t)
+        full = texts.sparkSession.sparkContext.broadcast(_full(texts, shared, whole, k, least))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, whole=whole) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, full=full, whole=whole) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             import pyarrow as pa
 
             sums = Sums()
@@ -358,14 +413,9 @@ def longer(texts: DataFrame, some: DataFrame, k: int, least: int) -> DataFrame:
                 return pa.RecordBatch.from_arrays(_columns(shared.value.phrases[code >> 32], (code & 0xFFFFFFFF).astype(np.int32), n), names=[*names, "n"])
 
             for c in _positions(batches):
-                at, number = shared.value.find(c)
-                follows = np.append(c, np.zeros(k, np.int32))[at + k - 1]
-                ok = follows > 0
-                if whole:
-                    begins = np.zeros(len(c) + 1, bool)
-                    begins[at] = True
-                    ok &= begins[at + 1]
-                code, n = np.unique((number[ok].astype(np.int64) << 32) | follows[ok], return_counts=True)
+                number, word = _follows(shared.value, whole, c, k)
+                ok = full.value[_bucket(number, word)]
+                code, n = np.unique((number[ok] << 32) | word[ok], return_counts=True)
                 if sums.add(code, n.astype(np.int64)):
                     yield give()
             yield give()
