@@ -399,6 +399,7 @@ def longer(texts: DataFrame, some: DataFrame, k: int, least: int) -> DataFrame:
     """(w0, ...) phrases of k words whose parts of k - 1 words are all in some, and that tasks together saw at least so often."""
     names = [f"w{j}" for j in range(k)]
     listed = []
+    wide = texts.coalesce(-(-texts.rdd.getNumPartitions() // 2))  # fewer tasks list a frequent phrase fewer times
     for t, whole in _tries(some, k - 1):
         shared = texts.sparkSession.sparkContext.broadcast(t)
         full = texts.sparkSession.sparkContext.broadcast(_full(texts, shared, whole, k, least))
@@ -420,7 +421,7 @@ def longer(texts: DataFrame, some: DataFrame, k: int, least: int) -> DataFrame:
                     yield give()
             yield give()
 
-        rows = texts.mapInArrow(run, ", ".join([*(f"{x} int" for x in names), "n long"]))
+        rows = wide.mapInArrow(run, ", ".join([*(f"{x} int" for x in names), "n long"]))
         listed.append(cut(rows.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*names)))
         shared.unpersist()
     if not listed:
