@@ -355,9 +355,9 @@ def _follows(t: Trie, whole: bool, c: np.ndarray, k: int) -> tuple[np.ndarray, n
     return number[ok].astype(np.int64), word[ok].astype(np.int64)
 
 
-def _bucket(number: np.ndarray, word: np.ndarray) -> np.ndarray:
+def _bucket(number: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
     h = (number.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % BUCKETS
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % buckets
 
 
 def _full(texts: DataFrame, shared, whole: bool, k: int, least: int) -> np.ndarray:  # noqa: ANN001
@@ -373,7 +373,7 @@ def _full(texts: DataFrame, shared, whole: bool, k: int, least: int) -> np.ndarr
 
         n = np.zeros(BUCKETS, np.int32)
         for c in _positions(batches):
-            bucket, found = np.unique(_bucket(*_follows(shared.value, whole, c, k)), return_counts=True)
+            bucket, found = np.unique(_bucket(*_follows(shared.value, whole, c, k), BUCKETS), return_counts=True)
             n[bucket] += found.astype(np.int32)
         n = np.minimum(n, least).astype(kind).reshape(-1, min(ROW, BUCKETS))  # what is enough once is enough
         some = np.flatnonzero(n.any(1))
@@ -415,7 +415,7 @@ def longer(texts: DataFrame, some: DataFrame, k: int, least: int) -> DataFrame:
 
             for c in _positions(batches):
                 number, word = _follows(shared.value, whole, c, k)
-                ok = full.value[_bucket(number, word)]
+                ok = full.value[_bucket(number, word, len(full.value))]
                 code, n = np.unique((number[ok] << 32) | word[ok], return_counts=True)
                 if sums.add(code, n.astype(np.int64)):
                     yield give()
