@@ -69,9 +69,12 @@ def cluster_pruned_knn(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
 
 
-_LEGS = """WITH v AS (SELECT query_id, memory_id AS id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, memory_id) AS vr FROM knn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) <= 30),
-vq AS (SELECT q.query_id, id, cosine, vr FROM v JOIN queries q ON v.query_id = 20 * (q.query_id % 10)),
-x AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS xr FROM lexical QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30),
+_ASKS = ("", "when was ", "where are the current ", "what would I prefer of ")
+_LEGS = f"""WITH rq AS (SELECT id AS query_id, [{', '.join(f"'{x}'" for x in _ASKS)}][CAST(id // 20 % 4 + 1 AS INTEGER)] || array_to_string(string_split(content, ' ')[1:12], ' ') AS text, id // 50 AS episode FROM records WHERE id % 20 = 0),
+rt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM rq) WHERE term <> ''),
+rlex AS (SELECT query_id, id, round(sum(weight), 6) AS score FROM rt JOIN postings USING (term) GROUP BY ALL),
+vq AS (SELECT query_id, memory_id AS id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, memory_id) AS vr FROM knn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) <= 30),
+x AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS xr FROM rlex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30),
 xn AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS lexical, xr FROM x),
 c AS (SELECT query_id, id, coalesce(cosine, 0) AS cosine, coalesce(lexical, 0) AS lexical, vr, xr FROM vq FULL JOIN xn USING (query_id, id)),
 f AS (SELECT c.*, importance, retrieval_precision, coalesce(valid_from, last_accessed) AS stamp FROM c JOIN records USING (id) WHERE valid_to IS NULL)"""
@@ -90,12 +93,16 @@ def _weighted(w: S.Weights) -> str:
     return f"({w.vector} * cosine + {w.lexical} * lexical + {w.recency} * rec + {w.precision} * coalesce(retrieval_precision, 0.5)) * {_BOOST}"
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record with id divisible by 20 asks with its first twelve words, opened in four ways, and its own vector, where it has one."""
+    start = F.element_at(F.array(*map(F.lit, _ASKS)), (F.floor(F.col("id") / 20) % 4 + 1).cast("int"))
+    q = X.records(spark, sf).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.concat(start, F.array_join(F.slice(F.split("content", " "), 1, 12), " ")).alias("text"), F.floor(F.col("id") / 50).alias("episode"))
+    return q.join(X.query_vectors(spark, sf), "query_id", "left")
+
+
 def _recall(spark: SparkSession, sf: str, weights: S.Weights = S.DEFAULT, fusion: str = "weighted") -> DataFrame:
-    """All benchmark items as queries; each gets one of the first ten query vectors, so that both legs find something for it."""
-    v = X.query_vectors(spark, sf).withColumnRenamed("query_id", "_v")
-    q = X.queries(spark, sf).join(v, F.col("_v") == 20 * (F.col("query_id") % 10), "left").drop("_v")
-    r = X.records(spark, sf)
-    return R.recall(q, r, X.chunks(spark, sf), X.index(spark, sf, search.query_terms(q)), X.now(), weights=weights, fusion=fusion)
+    q = _asked(spark, sf)
+    return R.recall(q, X.records(spark, sf), X.chunks(spark, sf), X.index(spark, sf, search.query_terms(q)), X.now(), weights=weights, fusion=fusion)
 
 
 @query(_recall_sql(_TIMED, _weighted(S.DEFAULT)))
@@ -118,6 +125,39 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return _recall(spark, sf, fusion="rrf")
 
 
+_WANTS = lambda words: f"list_has_any(toks, [{', '.join(f'{chr(39)}{w}{chr(39)}' for w in words)}])"
+_PAIRS = "list_filter(list_transform(range(1, len(ws)), lambda i: CASE WHEN regexp_matches(ws[i], '^[A-Z]') AND regexp_matches(ws[i + 1], '^[A-Z]') THEN [lower(ws[i]), lower(ws[i + 1])] END), lambda p: p IS NOT NULL)"
+
+
+def _composed_sql(score: str, preference: float) -> str:
+    pick = lambda k: f"CASE WHEN temporal THEN {getattr(S.TEMPORAL, k)}::DOUBLE WHEN updates THEN {getattr(S.UPDATE, k)} ELSE {getattr(S.DEFAULT, k)} END"
+    return _LEGS + f""", qi AS (SELECT *, {_WANTS(T.TEMPORAL)} AS temporal, {_WANTS(T.UPDATE)} AS updates, {_WANTS(T.PREFERENCE_QUERY)} AS prefers, list_filter(toks, lambda w: w <> '' AND w NOT IN ({', '.join(f"'{w}'" for w in T.NO_TOPIC)})) AS anchors, {_PAIRS} AS pairs, list_concat(regexp_extract_all(text, '{T.URL}'), regexp_extract_all(text, '{T.PHONE}')) AS exact
+  FROM (SELECT *, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS toks, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')) AS ws FROM rq)),
+m AS (SELECT f.*, q.*, d.content, d.tags, d.id // 50 = q.episode AS by_episode, prefers AND memory_type = 'preference' AS by_preference FROM f JOIN qi q USING (query_id) JOIN (SELECT id, content, tags, memory_type FROM records) d USING (id)),
+b AS (SELECT *, by_preference AND len(list_filter(anchors, lambda w: contains(lower(content), w))) > 0 AS by_anchor, len(list_filter(exact, lambda w: contains(content, w))) > 0 OR len(list_filter(pairs, lambda p: contains(lower(content), p[1] || ' ' || p[2]) OR contains(lower(content), p[2] || ' ' || p[1]))) > 0 AS by_identifier FROM m),
+s AS (SELECT *, CASE WHEN temporal THEN {_PLACED} ELSE {_TIMED} END AS rec, {pick('vector')} AS wv, {pick('lexical')} AS wx, {pick('recency')} AS wr, {pick('precision')} AS wp FROM b WINDOW q AS (PARTITION BY query_id)),
+t AS (SELECT query_id, id, by_episode, by_preference, by_anchor, by_identifier, substr(list_filter(tags, lambda t: starts_with(t, 'sid:'))[1], 5) AS session, round((({score} + wr * rec + wp * coalesce(retrieval_precision, 0.5)) * CASE WHEN by_episode THEN {S.EPISODE} ELSE 1 END * CASE WHEN by_preference THEN {preference} ELSE 1 END * CASE WHEN by_anchor THEN {S.ANCHOR} ELSE 1 END + CASE WHEN by_identifier THEN {S.IDENTIFIER} ELSE 0 END) * {_BOOST}, 6) AS score FROM s),
+u AS (SELECT *, row_number() OVER (PARTITION BY query_id, session ORDER BY score DESC, id) AS k, (SELECT count(DISTINCT session) FROM t o WHERE o.query_id = t.query_id) AS sessions FROM t)
+SELECT query_id, id, score, session, by_episode, by_preference, by_anchor, by_identifier, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u WHERE k <= 2 OR sessions < 2) WHERE rank <= 10"""
+
+
+def _composed(spark: SparkSession, sf: str, fusion: str = "weighted") -> DataFrame:
+    q = _asked(spark, sf)
+    r = X.records(spark, sf).withColumn("episode", F.floor(F.col("id") / 50))
+    return R.composed(q, r, X.chunks(spark, sf), X.index(spark, sf, search.query_terms(q)), X.now(), fusion=fusion)
+
+
+@query(_composed_sql("wv * cosine + wx * lexical", S.PREFERENCE))
+def composed_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages of a recall: weights by intent, both legs, boosts of what matches, sessions of at most two results."""
+    return _composed(spark, sf)
+
+
+@query(_composed_sql("(coalesce(1.0 / (60 + vr), 0) + coalesce(1.0 / (60 + xr), 0)) * 61 / 2 * (wv + wx)", S.PREFERENCE_RRF))
+def composed_recall_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    return _composed(spark, sf, "rrf")
+
+
 @query(f"SELECT id, round(exp(-0.01 * epoch(TIMESTAMP '{X.NOW}' - last_accessed) / 3600.0::DOUBLE), 6) AS recency, round({_BOOST}, 6) AS boost, round(greatest(0.1, dynamic_importance), 6) AS dynamic_boost FROM records")
 def recency_and_importance(spark: SparkSession, sf: str) -> DataFrame:
     hours = (F.unix_timestamp(X.now().cast("timestamp")) - F.unix_timestamp(F.col("last_accessed").cast("timestamp"))) / 3600.0
