@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import paraphrase as P
+from tidemark.functions import jsons, paraphrase as P
 from tidemark.operators import counting, ladder, turns, uploads, variants
 
 T0 = dt.datetime(2024, 1, 1)
@@ -144,3 +144,13 @@ def test_what_hangs_together(spark):
     rows = [([["a", "b"], ["c", "d"], ["b", "c"]], True), ([["a"], ["b"]], False), ([["a", "b"], ["c"], ["d", "c"]], False), ([["a"]], True), ([], True)]
     df = spark.createDataFrame([(x,) for x, _ in rows], "s array<array<string>>")
     assert [r[0] for r in df.select(counting.connected(F.col("s"))).collect()] == [w for _, w in rows]
+
+
+def test_json_out_of_texts(spark):
+    deep = "[" * 3000
+    cases = {
+        '{"a": 1}': '{"a": 1}', " [1, 2]\n": "[1, 2]", "12": "12", 'Here: {"a": [1, {"b": "}]"}]} and {"c": 2}': '{"a": [1, {"b": "}]"}]}', 'say "[" then {"a": "\\"}"}': '{"a": "\\"}"}', "{see [1] below": "[1]",
+        '<THINK>{"no": 1}\n</think>x {"yes": 1}': '{"yes": 1}', '<think>{"a": 1}': '{"a": 1}', '```json\n{"a":\n  1}\n  ```': '{"a":\n  1}', '{"a": [1, "}': '{"a": [1, "}', "[NaN] {}": "{}", "nothing": None, "": None, None: None, deep: deep,
+    }
+    got = {r.t: r.j for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", jsons.first_json(F.col("t")).alias("j")).collect()}
+    assert got == cases
