@@ -19,11 +19,11 @@ def _top(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _scored(queries: DataFrame, chunks: DataFrame, digits: int, spread: bool) -> DataFrame:
-    """Cosines of all chunks with a block of queries that is sent to every task (spread: it isn't); norms are taken once for each vector."""
+def _scored(queries: DataFrame, chunks: DataFrame, digits: int) -> DataFrame:
+    """Cosines of all chunks with a block of queries that is sent to every task; norms are taken once for each vector."""
     q = queries.select("query_id", V.doubles(F.col("vector")).alias("v")).withColumn("nv", V.norm(F.col("v")))
     c = chunks.where("embedding is not null").select("chunk_id", "memory_id", V.doubles(F.col("embedding")).alias("e")).withColumn("ne", V.norm(F.col("e")))
-    return c.crossJoin(q if spread else F.broadcast(q)).select("query_id", "chunk_id", "memory_id", F.round(V.cosine(F.col("v"), F.col("e"), F.col("nv"), F.col("ne")), digits).alias("cosine"))
+    return c.crossJoin(F.broadcast(q)).select("query_id", "chunk_id", "memory_id", F.round(V.cosine(F.col("v"), F.col("e"), F.col("nv"), F.col("ne")), digits).alias("cosine"))
 
 
 def _blocks(queries: DataFrame) -> list[DataFrame]:
@@ -31,20 +31,20 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
     return [queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6, many: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """Exact search: each query's k chunks of highest cosine, as (query_id, chunk_id, memory_id, cosine, rank).
 
-    queries: (query_id, vector), a stated set; it is counted, and blocks of QUERY_ROWS are sent to every task (many: none
-    is), each block with its own best k; chunks: (chunk_id, memory_id, embedding). Ties go by chunk_id, and every task
+    queries: (query_id, vector), a stated set; it is counted, and blocks of QUERY_ROWS are sent to every task,
+    each block with its own best k; chunks: (chunk_id, memory_id, embedding). Ties go by chunk_id, and every task
     keeps its own best k first.
     """
-    found = [_top(_scored(q, chunks, digits, many), "query_id", "cosine", "chunk_id", k) for q in ([queries] if many else _blocks(queries))]
+    found = [_top(_scored(q, chunks, digits), "query_id", "cosine", "chunk_id", k) for q in _blocks(queries)]
     return reduce(DataFrame.union, found)
 
 
 def similar(queries: DataFrame, chunks: DataFrame, least: float, digits: int = 6) -> DataFrame:
     """Every chunk with at least such a cosine to a query of a stated set, in blocks of it: (query_id, chunk_id, memory_id, cosine)."""
-    return reduce(DataFrame.union, [_scored(q, chunks, digits, False).where(F.col("cosine") >= least) for q in _blocks(queries)])
+    return reduce(DataFrame.union, [_scored(q, chunks, digits).where(F.col("cosine") >= least) for q in _blocks(queries)])
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
@@ -98,6 +98,32 @@ def shared_set_pairs(sets: DataFrame, least: float, both_empty: float = 0.0) ->
     return scored.where(F.col("similarity") >= least)
 
 
+def with_first(rows: DataFrame, key: Column) -> DataFrame:
+    """Rows with `first`, the smallest id that has the same key text; only a digest of the key is shuffled, combined before."""
+    hashed = rows.withColumn("_h", F.sha2(key, 256))
+    return hashed.join(hashed.groupBy("_h").agg(F.min("id").alias("first")), "_h").drop("_h")
+
+
+def linked_sets(sets: DataFrame, least: float) -> DataFrame:
+    """Like shared_set_pairs, but equal sets are one: pairs of their first rows, and (first, other, 1.0) for each further row of a set.
+
+    k copies give k - 1 rows and not k (k - 1) / 2, and no link between different sets is lost. Empty sets are in no pair.
+    """
+    own = with_first(sets.where(F.size("items") > 0), F.array_join(F.array_sort("items"), "\x1f"))
+    copies = own.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return shared_set_pairs(own.where("id = first").select("id", "items"), least).union(copies)
+
+
+def near_texts(texts: DataFrame, least: float = 0.85) -> DataFrame:
+    """(a, b, similarity) of rows (id, text): MinHash candidates among different texts, verified on all their character pairs, and (first, other, 1.0) for copies."""
+    own = with_first(texts.where("text is not null"), F.col("text"))
+    copies = own.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    firsts = own.where("id = first").select("id", "text")
+    g = firsts.select("id", T.bigrams(F.col("text")).alias("g"))
+    pairs = minhash_pairs(firsts).join(g.withColumnsRenamed({"id": "a", "g": "x"}), "a").join(g.withColumnsRenamed({"id": "b", "g": "y"}), "b")
+    return pairs.select("a", "b", T.jaccard(F.col("x"), F.col("y"), 1.0).alias("similarity")).where(F.col("similarity") >= least).union(copies)
+
+
 def minhash_pairs(texts: DataFrame, bands: int = 16, rows: int = 8) -> DataFrame:
     """Candidate pairs (a, b) of rows (id, text): MinHash of character pairs, `bands` bands of `rows`."""
     grams = texts.select("id", F.explode(T.bigrams(F.col("text"))).alias("g"))
