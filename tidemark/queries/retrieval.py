@@ -73,7 +73,7 @@ _ASKS = ("", "when was ", "where are the current ", "what would I prefer of ")
 _LEGS = f"""WITH rq AS (SELECT id AS query_id, [{', '.join(f"'{x}'" for x in _ASKS)}][CAST(id // 20 % 4 + 1 AS INTEGER)] || array_to_string(string_split(content, ' ')[1:12], ' ') AS text, id // 50 AS episode FROM records WHERE id % 20 = 0),
 rt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM rq) WHERE term <> ''),
 rlex AS (SELECT query_id, id, round(sum(weight), 6) AS score FROM rt JOIN postings USING (term) GROUP BY ALL),
-vq AS (SELECT query_id, memory_id AS id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, memory_id) AS vr FROM knn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) <= 30),
+vq AS (SELECT query_id, memory_id AS id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, memory_id) AS vr FROM knn WHERE query_id IN (SELECT query_id FROM rq) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) <= 30),
 x AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS xr FROM rlex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30),
 xn AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS lexical, xr FROM x),
 c AS (SELECT query_id, id, coalesce(cosine, 0) AS cosine, coalesce(lexical, 0) AS lexical, vr, xr FROM vq FULL JOIN xn USING (query_id, id)),
