@@ -1,7 +1,8 @@
 """Similarity join of documents by the exact Jaccard similarity of their sets of word shingles.
 
-The sets are the rows of a sparse matrix, documents by shingles, written once. The product of the matrix with its
-transpose holds the sizes of all intersections; it is never made in full:
+The sets are the rows of a sparse matrix, documents by shingles. What is written is each row's text, half as large as its
+set, and steps make the set again, as only words are hashed as bytes and a shingle is a sum of its words' hashes. The product of
+the matrix with its transpose holds the sizes of all intersections; it is never made in full:
 
 * Equal sets are one row, and rows whose sizes alone rule a link out never meet.
 * Only a row's first columns are multiplied, in one order for all rows: of linked sets, the first n - ceil(0.8 n) + 1
@@ -23,10 +24,10 @@ from typing import TYPE_CHECKING
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .lines import SKETCH, _may_be_alike
 from .shared import bucket_components, cut, join_hot, join_sized, merged, stored
-from .simhash import shingle_hashes
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -39,19 +40,41 @@ FEW = 16
 LAST, COLUMNS = 1 << 20, 1 << 22
 #: Rows of one or two longs that may be broadcast.
 FETCH_ROWS = 500_000
+#: Words hashed at once; bytes of sets that a task keeps while it compares pairs.
+BLOCK, KEPT = 100_000, 1 << 25
+#: Odd multipliers of a shingle's words are powers of the first; the second mixes the sum.
+TURN, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def _word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the text's words in order, A-Z in lower case; bytes.split knows the same white space as WORD."""
+    rest, parts = (text or "").encode().lower(), [np.zeros(0, np.uint64)]
+    while rest:
+        some = rest.split(None, BLOCK)
+        rest = some.pop() if len(some) > BLOCK else b""
+        parts.append(np.fromiter(map(xxh64_intdigest, some), np.uint64, len(some)))
+    return np.concatenate(parts)
 
 
 def grams(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)])).view(np.int64)
+    words = _word_hashes(text)
+    width = min(shingle, len(words))
+    if not width:
+        return np.zeros(0, np.int64)
+    sums = np.full(len(words) - width + 1, width, np.uint64)
+    for k in range(width):
+        sums += words[k : len(words) - width + 1 + k] * np.uint64(pow(TURN, k + 1, 1 << 64))
+    sums = (sums ^ sums >> np.uint64(32)) * np.uint64(MIX)
+    sums = np.sort((sums ^ sums >> np.uint64(32)).view(np.int64))
+    return sums[np.append(True, sums[1:] != sums[:-1])]
 
 
 def matrix(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, row, size, k1, k2, cols) of every row of docs: its number, its set's size, two hashes of the set, the set in binary."""
+    """(doc_id, row, size, k1, k2, text) of every row of docs: its number, its set's size, two hashes of the set, its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -59,14 +82,14 @@ def matrix(docs: DataFrame, shingle: int) -> DataFrame:
                 sets = [grams(x, shingle) for x in part.column(1).to_pylist()]
                 raw = [x.tobytes() for x in sets]
                 keys = [pa.array(np.array([xxh64_intdigest(x, seed) for x in raw], np.uint64).view(np.int64)) for seed in (1, 2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), *keys, pa.array(raw, pa.binary())], names=["doc_id", "size", "k1", "k2", "cols"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), *keys, part.column(1)], names=["doc_id", "size", "k1", "k2", "text"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, k1 long, k2 long, cols binary")
-    return stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, k1 long, k2 long, text string")
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "zstd")
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
-    return batch.column(0).to_numpy(), [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+def _rows(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    return batch.column(0).to_numpy(), [grams(x, shingle) for x in batch.column(1).to_pylist()]
 
 
 def _need(size: np.ndarray, percent: int) -> np.ndarray:
@@ -74,7 +97,7 @@ def _need(size: np.ndarray, percent: int) -> np.ndarray:
     return size - (-(-size * percent // 100)) + 1
 
 
-def _frequent(rows: DataFrame) -> np.ndarray:
+def _frequent(rows: DataFrame, shingle: int) -> np.ndarray:
     """Sorted shingles that are in more than FEW rows of blocks of the matrix, added up; the most frequent LAST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +108,8 @@ def _frequent(rows: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(col[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["col", "n"])
 
         held, size = [np.zeros(0, np.int64)], 0
-        for batch in batches:
-            for x in _rows(batch)[1]:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+            for x in _rows(batch, shingle)[1]:
                 held.append(x)
                 size += len(x)
                 if size >= COLUMNS:
@@ -94,19 +117,19 @@ def _frequent(rows: DataFrame) -> np.ndarray:
                     held, size = [np.zeros(0, np.int64)], 0
         yield count(held)
 
-    found = rows.select("row", "cols").mapInArrow(run, "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).where(F.col("n") > FEW)
+    found = rows.select("row", "text").mapInArrow(run, "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).where(F.col("n") > FEW)
     return np.sort(found.orderBy(F.desc("n"), "col").limit(LAST).toPandas()["col"].to_numpy(np.int64))
 
 
-def _entries(rows: DataFrame, last, percent: int) -> DataFrame:  # noqa: ANN001
+def _entries(rows: DataFrame, last, shingle: int, percent: int) -> DataFrame:  # noqa: ANN001
     """(late, col, row, size): the columns of each row that are multiplied, the first in the order; late ones are in `last`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         known = last.value
-        for batch in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
-            row, sets = _rows(batch)
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+            row, sets = _rows(batch, shingle)
             size = np.array([len(x) for x in sets], np.int64)
             col = np.concatenate([np.zeros(0, np.int64), *sets])
             of = np.repeat(np.arange(len(row)), size)
@@ -118,7 +141,7 @@ def _entries(rows: DataFrame, last, percent: int) -> DataFrame:  # noqa: ANN001
             col, of, late = col[some], of[some], late[some]
             yield pa.RecordBatch.from_arrays([pa.array(late), pa.array(col), pa.array(row[of]), pa.array(size[of].astype(np.int32))], names=["late", "col", "row", "size"])
 
-    return rows.select("row", "cols").mapInArrow(run, "late boolean, col long, row long, size int")
+    return rows.select("row", "text").mapInArrow(run, "late boolean, col long, row long, size int")
 
 
 def _outer(block: np.ndarray, percent: int) -> np.ndarray:
@@ -183,10 +206,10 @@ def _product(entries: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def links(rows: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the rows (row, size, cols), all sets different, that are linked to others."""
-    last = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
-    made = cut(_product(_entries(rows, last, percent), percent))
+def links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, component) of the rows (row, size, text), all sets different, that are linked to others."""
+    last = rows.sparkSession.sparkContext.broadcast(_frequent(rows, shingle))
+    made = cut(_product(_entries(rows, last, shingle, percent), percent))
     crowd = made.where("b is null").select("col", F.col("a").alias("row"))
     crowded = cut(crowd.groupBy("row").agg(F.count("*").alias("k")))
     met = made.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
@@ -202,15 +225,24 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
     def sets(nodes: DataFrame) -> DataFrame:
         """The whole rows of these numbers (row)."""
         nodes = cut(nodes.distinct())
-        return join_sized(rows.select("row", "size", "cols"), nodes, ["row"], "left_semi", nodes.count(), FETCH_ROWS)
+        return join_sized(rows.select("row", "size", "text"), nodes, ["row"], "left_semi", nodes.count(), FETCH_ROWS)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
+        kept, size = {}, 0
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
+            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for k, (pair, *texts) in enumerate(zip(ids, batch.column(2), batch.column(3), strict=True)):
+                for row, text in zip(pair, texts, strict=True):
+                    if row not in kept:
+                        found = grams(text.as_py(), shingle)
+                        if size + found.nbytes > KEPT:
+                            kept, size = {x: kept[x] for x in pair if x in kept}, 0
+                        kept[row] = found
+                        size += found.nbytes
+                x, y = (kept[row] for row in pair)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(keep))
@@ -220,9 +252,9 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.join(size("a"), "a").join(size("b"), "b")
         pairs = cut(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
         every = sets(pairs.select(F.explode(F.array("a", "b")).alias("row")))
-        side = lambda x: every.select(F.col("row").alias(x), F.col("cols").alias(f"c{x}"))
+        side = lambda x: every.select(F.col("row").alias(x), F.col("text").alias(f"t{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return both.select("a", "b", "ca", "cb").mapInArrow(check, "a long, b long")
+        return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
     marks = ["size", *[f"s{k}" for k in range(SKETCH)]]
 
@@ -230,7 +262,7 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            row, found = _rows(batch)
+            row, found = _rows(batch, shingle)
             out = np.zeros((SKETCH + 1, len(row)), np.int64)
             for k, x in enumerate(found):
                 out[0, k] = len(x)
@@ -239,7 +271,7 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
 
     def sketched(placed: DataFrame) -> DataFrame:
         some = sets(placed.select(F.col("node").alias("row")))
-        return placed.join(some.select("row", "cols").mapInArrow(sketch, ", ".join(f"{x} long" for x in ["node", *marks])), "node")
+        return placed.join(some.select("row", "text").mapInArrow(sketch, ", ".join(f"{x} long" for x in ["node", *marks])), "node")
 
     def near(left: str, right: str) -> Column:
         sizes = F.least(f"{left}.size", f"{right}.size") * 100 >= F.greatest(f"{left}.size", f"{right}.size") * percent
@@ -264,8 +296,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     every = matrix(docs, shingle)
     sets = cut(every.where("size > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("n")))
     copies = cut(every.where("size > 0").join(sets.where("n > 1").select("k1", "k2", "node"), ["k1", "k2"]).where("row <> node").select("row"))
-    rows = join_sized(every.where("size > 0").select("row", "size", "cols"), copies, ["row"], "left_anti", copies.count(), FETCH_ROWS)
-    part = links(rows, percent)
+    rows = join_sized(every.where("size > 0").select("row", "size", "text"), copies, ["row"], "left_anti", copies.count(), FETCH_ROWS)
+    part = links(rows, shingle, percent)
     linked = sets.join(part, "node")
     least = cut(linked.groupBy("component").agg(F.min("first").alias("component_id")))
     some = join_hot(linked.select("k1", "k2", "component"), least, "component", F.col("k1"), least.count()).select("k1", "k2", "component_id")

@@ -72,10 +72,10 @@ def ordered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return rows.withColumn(name, F.col("_n") + F.col(name).bitwiseAND(F.lit((1 << bits) - 1))).drop("_p", "_n")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "none") -> DataFrame:
     """df written once as a table in the shared folder and read again, for wide rows of which later steps read some columns."""
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "none").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
