@@ -1,3 +1,3 @@
 """The registered queries. Importing this package registers all of them."""
 
-from tidemark.queries import analytics, documents, evidence, history, retrieval, states, trail  # noqa: F401
+from tidemark.queries import analytics, documents, evidence, history, reports, retrieval, states, trail  # noqa: F401
