@@ -136,8 +136,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """
     rows = docs.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)).alias("h"))
     size = rows.groupBy("lang").agg(F.count("*").alias("all"))
-    found = {r["lang"]: r["all"] for r in size.limit(10_000).collect()}
-    rows = join_sized(rows, size, ["lang"], "inner", len(found)).where(F.col("h") * F.col("all") < F.lit(sample << 30)).select("lang", "text").repartition(24)
+    rows = join_sized(rows, size, ["lang"], "inner", size.count()).where(F.col("h") * F.col("all") < F.lit(sample << 30)).select("lang", "text").repartition(24)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count: dict[str, np.ndarray] = {}
