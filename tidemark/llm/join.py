@@ -1,6 +1,6 @@
 """Similarity join of documents by the exact Jaccard similarity of their sets of word shingles.
 
-The sets are the rows of a sparse matrix, documents by shingles. What is written is each row's text, half as large as its
+The sets are the rows of a sparse matrix, documents by shingles. What is written is each row's text, less than half as large as its
 set, and steps make the set again, as only words are hashed as bytes and a shingle is a sum of its words' hashes. The product of
 the matrix with its transpose holds the sizes of all intersections; it is never made in full:
 
