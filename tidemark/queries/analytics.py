@@ -166,9 +166,11 @@ e AS (SELECT f.query_id, found, gold, list_transform(found, lambda x: CASE WHEN
 
 
 def _eval(spark: SparkSession, sf: str) -> DataFrame:
-    hits = search.lexical(X.queries(spark, sf), X.searched(spark, sf))
-    found = rank.ranked(hits, k=20).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("found"))
     good = X.table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    records = X.searched(spark, sf).join(good.withColumn("good", F.lit(True)), "id", "left").select("id", "content", F.coalesce("good", F.lit(False)).alias("group"))
+    # Twenty of the good and of the others hold the best twenty of all, and the best ten good ones.
+    hits = search.lexical(X.queries(spark, sf), records, 20)
+    found = rank.ranked(hits, k=20).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("found"))
     gold = rank.ranked(hits.join(good, "id"), k=10).groupBy("query_id").agg(F.collect_set("id").alias("gold"))
     return found.join(gold, "query_id")
 
@@ -189,7 +191,7 @@ def recall_any_all(spark: SparkSession, sf: str) -> DataFrame:
 n AS (SELECT query_id, session, count(*) AS n FROM h JOIN s USING (id) GROUP BY ALL) SELECT query_id, max(n) AS top, CAST(sum(n) AS BIGINT) AS mapped, round(max(n)::DOUBLE / sum(n), 6) AS dominance FROM n GROUP BY query_id""")
 def session_dominance(spark: SparkSession, sf: str) -> DataFrame:
     r = X.records(spark, sf)
-    hits = rank.ranked(search.lexical(X.queries(spark, sf), X.searched(spark, sf)), k=20).join(r.select("id", rank.session_of(F.col("tags")).alias("session")), "id")
+    hits = rank.ranked(search.lexical(X.queries(spark, sf), X.searched(spark, sf), 20), k=20).join(r.select("id", rank.session_of(F.col("tags")).alias("session")), "id")
     return E.dominance(hits).withColumn("dominance", r6("dominance"))
 
 

@@ -116,7 +116,8 @@ SELECT query_id, run, round(0.1::DOUBLE * list_sum(list_transform(range(1, great
 def drift_rbo_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Rankings by lexical score, and by the score weighed with importance, as two runs."""
     r = X.records(spark, sf)
-    hits = search.lexical(X.queries(spark, sf), X.searched(spark, sf)).join(r.select("id", "importance"), "id")
+    # A record's weight is that of its importance, so twenty of each importance hold the best twenty of both runs.
+    hits = search.lexical(X.queries(spark, sf), X.searched(spark, sf, F.col("importance")), 20).join(r.select("id", "importance"), "id")
     ids = lambda df, run: rank.ranked(df, k=20).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("ids")).withColumn("run", F.lit(run))
     d = knowledge.drift(ids(hits, 1).unionByName(ids(hits.withColumn("score", r6(F.col("score") * (5 - F.col("importance")))), 2)))
     return d.select("query_id", "run", r6("rbo").alias("rbo"), r6("jaccard_5").alias("jaccard_5"), r6("jaccard_full").alias("jaccard_full"), F.size("added").cast("long").alias("added"))

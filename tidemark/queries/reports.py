@@ -29,7 +29,7 @@ items AS (SELECT query_id, kind, coalesce(gold_rank, 0) AS gold_rank, gold_rank
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     """Lexical recall of each query, with two sessions that its number names as gold and a context of eight."""
     q, i = X.queries(spark, sf), F.col("query_id")
-    hits = rank.ranked(search.lexical(q, X.searched(spark, sf)), k=20)
+    hits = rank.ranked(search.lexical(q, X.searched(spark, sf), 20), k=20)
     sessions = X.records(spark, sf).select("id", rank.session_of(F.col("tags")).alias("session"))
     gold = q.select("query_id", F.explode(F.array((i * 7 % 40).cast("string"), (i * 3 % 40).cast("string"))).alias("session"))
     kinds = q.select("query_id", F.when(i % 5 != 0, F.element_at(F.array(*map(F.lit, R.KINDS)), (i % 4 + 1).cast("int"))).alias("kind"))

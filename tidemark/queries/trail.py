@@ -30,7 +30,7 @@ SELECT q.query_id, q.text AS query, coalesce(string_agg(CAST(id AS VARCHAR), ','
 def recall_event_log(spark: SparkSession, sf: str) -> DataFrame:
     """The events that lexical recall leaves, the ten best records of each query by rank."""
     q = X.queries(spark, sf)
-    hits = rank.ranked(search.lexical(q, X.searched(spark, sf)), k=10)
+    hits = rank.ranked(search.lexical(q, X.searched(spark, sf), 10), k=10)
     e = T.events_of(hits, q.withColumn("project", F.lit("all")), X.now())
     return e.select("query_id", "query", F.array_join(F.col("result_ids").cast("array<string>"), ",").alias("result_ids"))
 
