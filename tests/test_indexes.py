@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.stem import stems
+from tidemark.functions.stem import stem, stems
 from tidemark.operators import ann, index
 from tidemark.queries import documents
 from tidemark.registry import QUERIES
@@ -23,6 +24,29 @@ def test_stems(spark):
     assert got == ["run", "run", "run", "studi", "studi", "studi", "hous", "hous", "box", "box", "stop", "stop", "mak", "mak", "glass", "bus", "red", "sing", "tri", "play", "analysis"]
 
 
+def test_stem_of_a_word_equals_the_expression(spark):
+    """The index stems each distinct word of a batch once; a text of all words has the same stems either way."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pairs = docs.select(F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))).alias("w")).distinct().select("w", stems("w").alias("s")).collect()
+    odd = ["", "s", "ss", "ies", "ied", "eed", "bbed", "yed", "0s", "9ing", "aing", "the"]
+    pairs += [r for r in spark.createDataFrame([(x,) for x in odd if x], "w string").select("w", stems("w").alias("s")).collect()]
+    assert len(pairs) > 1000 and all(([] if stem(r.w) is None else [stem(r.w)]) == r.s for r in pairs)
+    got = {(r.id, r.term): r.tf for r in index.counts(spark.createDataFrame([(1, "Cats, cat the dog"), (2, None), (3, ""), (4, "the")], "id long, content string")).collect()}
+    assert got == {(1, "cat"): 2, (1, "dog"): 1}
+
+
+def test_search_shuffles_postings_and_not_pairs(spark, monkeypatch):
+    """Many queries ask for a term that all records have: what is shuffled is the records' postings, and each query's best of a task."""
+    monkeypatch.setattr(index, "PAIRS", 100_000)
+    path = new_folder(spark, "test")
+    index.build(spark.range(3000).select("id", F.concat(F.lit("cat dog "), F.expr("repeat('cat ', cast(id % 7 as int))")).alias("content")), path)
+    df = index.search(spark.range(200).select(F.col("id").alias("query_id"), F.lit("cats dogs").alias("text")), path, 10)
+    rows = df.collect()
+    assert len(rows) == 2000 and {r.id for r in rows} == {7 * i + 6 for i in range(10)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
+
+
 def plain(records, text, k, stem):
     found = Counter()
     want = set(stem[text])

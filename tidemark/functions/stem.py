@@ -1,7 +1,10 @@
-"""Stems of English words, as one SQL expression over an array of lower-case words, which any SQL with lambdas can run too."""
+"""Stems of English words, as one SQL expression over an array of lower-case words, which any SQL with lambdas can run too, and of one word."""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +42,16 @@ def stems_sql(words: str, sql: bool = True) -> str:
 def stems(text: str) -> Column:
     """Stems of all words of a column, repeats included; words are runs of ASCII letters and digits."""
     return F.expr(stems_sql(f"filter(split(lower({text}), '[^a-z0-9]+'), w -> w <> '')", False))
+
+
+_COMPILED = tuple(tuple((re.compile(p), r) for p, r in rules) for rules in STEPS)
+
+
+@lru_cache(100_000)
+def stem(word: str) -> str | None:
+    """The same of one lower-case word, for batches that hold a word many times; a stop word has none."""
+    if word in STOP_WORDS:
+        return None
+    for rules in _COMPILED:
+        word = next((p.sub(r, word) for p, r in rules if p.search(word)), word)
+    return word
