@@ -32,3 +32,16 @@ def test_pipeline_near_copies_match_brute_force(spark):
     assert {i for i, s in want.items() if s < 0.8} <= set(ids)
     assert sum(i not in ids for i in alike) >= 0.97 * len(alike)
     assert {i for i in ids if i is not None and i >= 1000} == {1000, 1003, 1005} and ids.count(None) == 1
+
+
+def test_fingerprints_bring_candidates(spark, monkeypatch):
+    """Without any band in common, texts that op10 links are still compared, and go if their sets are similar; others stay."""
+    from tidemark.llm import near, simhash
+
+    w = [f"w{k * k}" for k in range(2000)]
+    v = [*w[:1000], "changed", *w[1001:]]
+    rows = [(1, " ".join(w)), (2, " ".join(v)), (3, " ".join(w[::-1])), (4, "alone")]
+    assert bin(simhash.simhash(rows[0][1], 4) ^ simhash.simhash(rows[1][1], 4)).count("1") <= 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near, "bands", lambda hashes: near.np.array([int(hashes.sum(dtype=near.np.uint64)) % 2**62], near.np.int64))  # no two sets have it in common
+    assert sorted(r.doc_id for r in near.keep_one(docs).collect()) == [1, 3, 4]

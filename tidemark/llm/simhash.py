@@ -33,6 +33,8 @@ if TYPE_CHECKING:
 #: Generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Words of a shingle and differing bits of a link, where nothing else is said.
+WORDS, MOST = 4, 4
 #: Words read at once, so that a very long text needs no more memory than this.
 BLOCK = 100_000
 
@@ -119,7 +121,7 @@ def simhash(text: str | None, shingle: int) -> int:
     return int(np.packbits(total * 2 > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     """(doc_id, fp long) of every row; texts are read whole."""
 
     def start() -> Callable[[list[str | None]], list[pa.Array]]:
@@ -154,7 +156,7 @@ def _once(left: str, right: str, most: int) -> Column:
     return (F.bit_count(apart) <= most) & any_case
 
 
-def _linked(fps: DataFrame, most: int) -> DataFrame:
+def linked(fps: DataFrame, most: int) -> DataFrame:
     """(fp, component) of the distinct fingerprints that are linked to others."""
     if not 0 <= most <= 4:
         raise ValueError("the bucket scheme finds links of at most 4 differing bits")
@@ -162,7 +164,7 @@ def _linked(fps: DataFrame, most: int) -> DataFrame:
     return bucket_components(_bucket_rows(fps), holds, where=lambda left, right: _once(left, right, most)).withColumnRenamed("node", "fp")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = WORDS, most: int = MOST) -> DataFrame:
     """Every row of docs (doc_id, text) as (doc_id, fingerprint, component_id).
 
     Fingerprints link at most `most` (up to 4) differing bits apart; component_id is the smallest doc_id reachable.
@@ -172,19 +174,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     """
     rows = cut(fingerprints(docs, shingle))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    part = _linked(fps, most)
-    linked = fps.join(part, "fp")
-    least = cut(linked.groupBy("component").agg(F.min("first").alias("component_id")))
-    some = join_hot(linked.select("fp", "component"), least, "component", F.xxhash64("fp"), least.count()).select("fp", "component_id")
+    part = linked(fps, most)
+    mates = fps.join(part, "fp")
+    least = cut(mates.groupBy("component").agg(F.min("first").alias("component_id")))
+    some = join_hot(mates.select("fp", "component"), least, "component", F.xxhash64("fp"), least.count()).select("fp", "component_id")
     ids = fps.join(part, "fp", "left_anti").select("fp", F.col("first").alias("component_id")).union(some)
     return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = WORDS, most: int = MOST) -> DataFrame:
     """The rows of docs that stay when each component keeps its first text, by doc_id (null last), then text hash.
 
     Rows that repeat doc_id and text of one that stays, stay too: they can't be told from it.
     """
     signed = cut(fingerprints(docs.select(F.xxhash64("text").alias("doc_id"), "text"), shingle).distinct())
-    part = signed.join(_linked(signed.select("fp").distinct(), most), "fp", "left")
+    part = signed.join(linked(signed.select("fp").distinct(), most), "fp", "left")
     return keep_firsts(docs, part.select(F.col("doc_id").alias("node"), F.coalesce("component", "fp").alias("component")))
