@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import cache
+from hashlib import sha256
 from pathlib import Path
 from typing import TYPE_CHECKING, NamedTuple
 from zlib import crc32
@@ -45,6 +46,8 @@ MARKS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and
 LATIN = 0x250
 #: Bytes of the longest word whose merges are made in bulk.
 LONGEST = 48
+#: Words, and marks after words, whose ids a worker keeps from shard to shard; one shard's own always have room.
+KNOWN = 1 << 20
 
 _byte = np.arange(256)
 SPACE = (_byte == 32) | (_byte >= 9) & (_byte <= 13)
@@ -53,6 +56,32 @@ LETTER = (_byte >= 97) & (_byte <= 122)
 MARK = np.isin(_byte, list(MARKS))
 
 
+class Known(NamedTuple):
+    """Pieces of text whose ids are known: two hashes, sorted by the first; where their ids start and how many there are, -1: not to be read as letters."""
+
+    hash: np.ndarray = np.zeros(0, np.uint64)
+    second: np.ndarray = np.zeros(0, np.uint64)
+    at: np.ndarray = np.zeros(0, np.int32)
+    count: np.ndarray = np.zeros(0, np.int32)
+    ids: np.ndarray = np.zeros(0, "<u2")
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, found) of pieces with these hashes."""
+        place = np.minimum(np.searchsorted(self.hash, first), max(len(self.hash) - 1, 0))
+        return place, (self.hash[place] == first) & (self.second[place] == second) if len(self.hash) else np.zeros(len(first), bool)
+
+    def more(self, first: np.ndarray, second: np.ndarray, count: np.ndarray, ids: np.ndarray) -> Known:
+        held = np.maximum(count, 0)
+        order = np.argsort(np.concatenate([self.hash, first]), kind="stable")
+        both = lambda x, y: np.concatenate([x, y])[order]
+        at = len(self.ids) + np.cumsum(held) - held
+        return Known(both(self.hash, first), both(self.second, second), both(self.at, at.astype(np.int32)), both(self.count, count.astype(np.int32)), np.concatenate([self.ids, ids]))
+
+
+#: What a worker knows, by the tokenizer file's digest: some 30 MB, kept when a task ends, unlike the tokenizer's tables.
+_known: dict[bytes, Known] = {}
+
+
 class Words(NamedTuple):
     """Words of some texts in order: lower-cased bytes, where each word starts and ends in them, its text and its hash."""
 
@@ -164,18 +193,24 @@ class Merges:
             left = np.delete(left, first)
         return keys, orders
 
-    SLOTS = 1 << 19
+    SLOTS = 1 << 18
 
     def _slot(self, key: np.ndarray, table: int) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(BASES[0] + 2 * table)) >> np.uint64(45)).astype(np.int64)
+        return ((key.astype(np.uint64) * np.uint64(BASES[0] + 2 * table)) >> np.uint64(46)).astype(np.int64)
 
     def rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         key = (x.astype(np.int64) * self.width + y).ravel()
-        out = np.full(len(key), self.none, np.int32)
+        out, left = np.full(len(key), self.none, np.int32), np.arange(len(key))
         for k, (known, order) in enumerate(zip(self.key, self.order, strict=True)):
             slot = self._slot(key, k)
-            hit = known[slot] == key
-            out[hit] = order[slot[hit]]
+            there = known[slot]
+            hit = there == key
+            out[left[hit]] = order[slot[hit]]
+            # A key is in a later table only if its slot was taken by another in this one.
+            more = ~hit & (there >= 0)
+            key, left = key[more], left[more]
+            if not len(key):
+                break
         return out.reshape(x.shape)
 
     def encode(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,74 +247,123 @@ class Tokens:
 
     Words of small Latin letters, which are nearly all of the distinct ones, take the file's merges in bulk; a word
     that ends in marks is read as its letters and the marks, as the tokenizer does; any other word is given to the library.
+    What was read once is known by 128 bits of hashes, for the words of later shards and tasks.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merges: Merges | None = None):
         from tokenizers import Tokenizer
 
-        self.merges = Merges(path)
+        self.merges = merges or Merges(path)
         self.tokenizer = Tokenizer.from_file(path)
         #: Texts that hold one of these, in any case, are the library's.
         self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.digest = sha256(Path(path).read_bytes()).digest()
+        self.known = _known.get(self.digest, Known())
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u2") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ends) of words given by their places in lower-cased bytes: word k has the ids from ends[k] to ends[k + 1]."""
+    def _read(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, ids) of different pieces of the data, ids one after the other; count -1: of kind 2, but not Latin letters."""
         size, n = end - start, len(start)
-        core, kind = np.zeros(n, np.int64), np.zeros(n, np.int8)  # kind 1: letters, then marks; 2: other letters, then marks
-        by_size = np.argsort(size, kind="stable")
-        cuts = np.flatnonzero(np.diff(size[by_size])) + 1
-        for rows in np.split(by_size, cuts) if n else []:
-            width = int(size[rows[0]])
-            if width > LONGEST:
-                break
-            raw = data[start[rows][:, None] + np.arange(width)]
-            tail = (~MARK[raw])[:, ::-1].argmax(1)
-            core[rows] = width - tail
-            inner = np.arange(width) < (width - tail)[:, None]
-            kind[rows] = np.where((LETTER[raw] | ~inner).all(1), 1, np.where((LETTER[raw] | (raw >= 128) | ~inner).all(1), 2, 0))
-        kind[(core == 0) | MARK[data[start]]] = 0
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, ids of each, their number
+        count = np.zeros(n, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # pieces, ids of each
 
         def merge(rows: np.ndarray, raw: np.ndarray) -> None:
-            ids, count = self.merges.encode(raw)
-            parts.append((rows, ids[np.arange(raw.shape[1]) < count[:, None]], count))
-
-        plain = np.flatnonzero(kind == 1)
-        plain = plain[np.argsort(core[plain], kind="stable")]
-        for rows in np.split(plain, np.flatnonzero(np.diff(core[plain])) + 1) if len(plain) else []:
-            merge(rows, data[start[rows][:, None] + np.arange(core[rows[0]])])
+            ids, count[rows] = self.merges.encode(raw)
+            parts.append((rows, ids[np.arange(raw.shape[1]) < count[rows][:, None]]))
+
+        letters = np.flatnonzero(kind > 0)
+        letters = letters[np.argsort(size[letters], kind="stable")]
+        odd: list[int] = []
+        for rows in np.split(letters, np.flatnonzero(np.diff(size[letters])) + 1) if len(letters) else []:
+            raw = data[start[rows][:, None] + np.arange(size[rows[0]])]
+            some = kind[rows] == 2
+            if some.any():
+                # Of two bytes, the first 0xC3: letters but for the signs of times and division, large up to 0x9E.
+                after = np.zeros(raw.shape, bool)
+                after[:, 1:] = raw[:, :-1] == 0xC3
+                good = (LETTER[raw] | (raw == 0xC3) | after & (raw != 0x97) & (raw != 0xB7)).all(1)
+                odd += rows[~good].tolist()
+                rows, raw, after = rows[good], raw[good], after[good]
+                raw = np.where(after & (raw <= 0x9E), raw + np.uint8(32), raw)
+            if len(rows):
+                merge(rows, raw)
         latin: dict[int, list[tuple[int, bytes]]] = {}
-        for k in np.flatnonzero(kind == 2).tolist():
-            char = data[start[k] : start[k] + core[k]].tobytes().decode()
+        for k in odd:
+            char = data[start[k] : end[k]].tobytes().decode()
             low = char.lower()
             if low.isalpha() and max(char) < chr(LATIN) and len(low) == len(char):
                 own = low.encode()
                 latin.setdefault(len(own), []).append((k, own))
             else:
-                kind[k] = 0
+                count[k] = -1
         for width, some in latin.items():
             merge(np.array([k for k, _ in some]), np.frombuffer(b"".join(x for _, x in some), np.uint8).reshape(-1, width))
-        # Marks after the letters: there are few distinct ones.
-        marked = np.flatnonzero((kind > 0) & (core < size))
-        tails = [data[start[k] + core[k] : end[k]].tobytes() for k in marked.tolist()]
-        names = list(dict.fromkeys(tails))
-        ids_of = dict(zip(names, self.library([x.decode() for x in names]), strict=True))
         other = np.flatnonzero(kind == 0)
-        found = self.library([data[start[k] : end[k]].tobytes().decode() for k in other.tolist()])
-        for rows, own in ((marked, [ids_of[x] for x in tails]), (other, found)):
-            if len(rows):
-                parts.append((rows, np.concatenate(own), np.array([len(x) for x in own])))
-        total = np.zeros(n, np.int64)
-        for rows, _, count in parts:
-            total[rows] += count
+        if len(other):
+            own = self.library([data[start[k] : end[k]].tobytes().decode() for k in other.tolist()])
+            count[other] = [len(x) for x in own]
+            parts.append((other, np.concatenate(own)))
+        held = np.maximum(count, 0)
+        at = np.cumsum(held) - held
+        ids = np.empty(held.sum(), "<u2")
+        for rows, own in parts:
+            ids[_spread(at[rows], held[rows])] = own
+        return count, ids
+
+    def _find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(at, count) in the known ids of pieces of the data, in order; kind 1: small letters, 2: other letters, 0: anything, for the library."""
+        salt = np.where(kind == 0, np.uint64(BASES[1]), np.uint64(0))
+        first, second = (hashes(data, start, end, base) ^ salt for base in BASES)
+        place, found = self.known.find(first, second)
+        new = np.flatnonzero(~found)
+        if len(new):
+            own = new[np.unique(first[new], return_index=True)[1]]
+            count, ids = self._read(data, start[own], end[own], kind[own])
+            self.known = self.known.more(first[own], second[own], count, ids)
+            place, found = self.known.find(first, second)
+        at, count = self.known.at[place].astype(np.int64), self.known.count[place].astype(np.int64)
+        left = np.flatnonzero(~found)
+        if len(left):  # another piece with the same first hash stands there
+            count[left], ids = self._read(data, start[left], end[left], kind[left])
+            at[left] = len(self.known.ids) + np.cumsum(np.maximum(count[left], 0)) - np.maximum(count[left], 0)
+            self.known = self.known._replace(ids=np.concatenate([self.known.ids, ids]))
+        return at, count
+
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of words given by their places in lower-cased bytes: word k has the ids from ends[k] to ends[k + 1]."""
+        n = len(start)
+        if not n:
+            return np.zeros(0, "<u2"), np.zeros(1, np.int64)
+        if len(self.known.hash) + n > KNOWN:
+            self.known = Known()
+        by_place = np.argsort(start, kind="stable")
+        start, end = start[by_place].astype(np.int64), end[by_place].astype(np.int64)
+        # A word's marks at its end go off; the rest is small letters (kind 1), other letters (2), or the whole is the library's (0).
+        last = np.maximum.accumulate(np.where(MARK[data], -1, np.arange(len(data))))
+        core = np.maximum(last[end - 1] + 1, start)
+        among = lambda bad: np.concatenate([[0], np.cumsum(bad, dtype=np.int64)])
+        none = lambda bad: bad[core] == bad[start]
+        kind = np.where(none(among(~LETTER[data])), 1, np.where(none(among(~LETTER[data] & (data < 128))), 2, 0))
+        kind[(core == start) | MARK[data[start]] | (end - start > LONGEST)] = 0
+        core = np.where(kind > 0, core, end)
+        at, count = self._find(data, start, core, kind)
+        whole = np.flatnonzero(count < 0)
+        if len(whole):
+            core[whole] = end[whole]
+            at[whole], count[whole] = self._find(data, start[whole], end[whole], np.zeros(len(whole), np.int64))
+        marked = np.flatnonzero(core < end)
+        more_at, more = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if len(marked):
+            more_at[marked], more[marked] = self._find(data, core[marked], end[marked], np.zeros(len(marked), np.int64))
+        total = np.empty(n, np.int64)
+        total[by_place] = count + more
         ends = np.concatenate([[0], np.cumsum(total)])
-        ids, at = np.empty(ends[-1], "<u2"), ends[:-1].copy()
-        for rows, own, count in parts:
-            ids[_spread(at[rows], count)] = own
-            at[rows] += count
+        to, ids = ends[by_place], np.empty(ends[-1], "<u2")
+        ids[_spread(to, count)] = self.known.ids[_spread(at, count)]
+        ids[_spread(to + count, more)] = self.known.ids[_spread(more_at, more)]
+        _known[self.digest] = self.known
         return ids, ends
 
 
@@ -291,12 +375,13 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def document_ids(texts: pa.Array, have: Words, first: np.ndarray, code: np.ndarray, mine: Tokens, end: int) -> list[np.ndarray]:
     """Token ids of every text and then `end`."""
     ids, at = mine.encode(have.data, have.start[first], have.end[first])
-    count = np.diff(at)
-    edge = np.searchsorted(have.row, np.arange(len(texts) + 1))
-    out = []
-    for a, b in zip(edge, edge[1:], strict=False):
-        own = code[a:b]
-        out.append(np.append(ids[_spread(at[own], count[own])] if b > a else ids[:0], np.uint16(end)))
+    count = np.diff(at)[code]
+    # A text's end stands before the words of the next.
+    to = np.concatenate([[0], np.cumsum(count)])
+    every = np.full(to[-1] + len(texts), end, "<u2")
+    every[_spread(to[:-1] + have.row, count)] = ids[_spread(at[code], count)]
+    edge = to[np.searchsorted(have.row, np.arange(len(texts) + 1))] + np.arange(len(texts) + 1)
+    out = [every[a:b] for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
     lower, ends = have.data.tobytes(), text_bytes(texts)[1]
     theirs = set()
     for mark in mine.special:
@@ -481,6 +566,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = 4096, with
     frequency, n, total = document_frequencies(docs)
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
+    merges = docs.sparkSession.sparkContext.broadcast(Merges(tokenizer))
     mean = total / max(n, 1)
     held: list[Tokens] = []  # a task unpickles its own, so the tokenizer's tables go when the task ends
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
@@ -493,7 +579,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, window: int = 4096, with
         have = words(texts)
         first, code = distinct(have)
         if not held:
-            held.append(Tokens(tokenizer))
+            held.append(Tokens(tokenizer, merges.value))
         ids = document_ids(texts, have, first, code, held[0], end)
         sizes = np.array([len(x) for x in ids])
         pieces = np.array(fill(sizes, Index(have.row, have.term, len(texts), shared.value, mean), window), np.int64).reshape(-1, 5)
