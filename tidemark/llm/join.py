@@ -42,6 +42,8 @@ LAST, COLUMNS = 1 << 20, 1 << 22
 FETCH_ROWS = 500_000
 #: Words hashed at once; bytes of sets that a task keeps while it compares pairs.
 BLOCK, KEPT = 100_000, 1 << 25
+#: Columns by which two rows are compared before their texts are.
+MARKS = ["size", *[f"s{k}" for k in range(SKETCH)]]
 #: Odd multipliers of a shingle's words are powers of the first; the second mixes the sum.
 TURN, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -70,8 +72,16 @@ def grams(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return sums[np.append(True, sums[1:] != sums[:-1])]
 
 
+def _sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """(SKETCH, sets): 64 * SKETCH bits that say of which hash values a set's number is odd."""
+    out = np.zeros((SKETCH, len(sets)), np.int64)
+    for k, x in enumerate(sets):
+        out[:, k] = np.packbits((np.bincount(x & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+    return out
+
+
 def matrix(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, row, size, k1, k2, text) of every row of docs: its number, its set's size, two hashes of the set, its text."""
+    """(doc_id, row, size, k1, k2, s0, s1, ..., text) of every row of docs: its number, its set's size, two hashes and an odd sketch of the set, its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -82,9 +92,9 @@ def matrix(docs: DataFrame, shingle: int) -> DataFrame:
                 sets = [grams(x, shingle) for x in part.column(1).to_pylist()]
                 raw = [x.tobytes() for x in sets]
                 keys = [pa.array(np.array([xxh64_intdigest(x, seed) for x in raw], np.uint64).view(np.int64)) for seed in (1, 2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), *keys, part.column(1)], names=["doc_id", "size", "k1", "k2", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), *keys, *map(pa.array, _sketch(sets)), part.column(1)], names=["doc_id", "size", "k1", "k2", *MARKS[1:], "text"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, k1 long, k2 long, text string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{x} long" for x in ["doc_id", "size", "k1", "k2", *MARKS[1:]]) + ", text string")
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "zstd")
 
 
@@ -122,7 +132,7 @@ def _frequent(rows: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _entries(rows: DataFrame, last, shingle: int, percent: int) -> DataFrame:  # noqa: ANN001
-    """(late, col, row, size): the columns of each row that are multiplied, the first in the order; late ones are in `last`."""
+    """(late, col, row, size, pos): the columns of each row that are multiplied, the first in the order, with their place in it; late ones are in `last`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -136,16 +146,17 @@ def _entries(rows: DataFrame, last, shingle: int, percent: int) -> DataFrame:  #
             late = known[np.minimum(np.searchsorted(known, col), len(known) - 1)] == col if len(known) else np.zeros(len(col), bool)
             order = np.lexsort((late, of))  # stable: columns ascend among the early and the late ones of a row
             begin = np.cumsum(size) - size
-            first = np.arange(len(col)) - begin[of] < _need(size, percent)[of]
+            pos = np.arange(len(col)) - begin[of]
+            first = pos < _need(size, percent)[of]
             some = order[first]
-            col, of, late = col[some], of[some], late[some]
-            yield pa.RecordBatch.from_arrays([pa.array(late), pa.array(col), pa.array(row[of]), pa.array(size[of].astype(np.int32))], names=["late", "col", "row", "size"])
+            pos, col, of, late = pos[first], col[some], of[some], late[some]
+            yield pa.RecordBatch.from_arrays([pa.array(late), pa.array(col), pa.array(row[of]), pa.array(size[of].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["late", "col", "row", "size", "pos"])
 
-    return rows.select("row", "text").mapInArrow(run, "late boolean, col long, row long, size int")
+    return rows.select("row", "text").mapInArrow(run, "late boolean, col long, row long, size int, pos int")
 
 
 def _outer(block: np.ndarray, percent: int) -> np.ndarray:
-    """(a, b, size of a, size of b, met) of (col, row, size) sorted by col: pairs whose sizes allow a link, with the number of columns they share."""
+    """(a, b, size of a, size of b, met) of (col, row, size, ...) sorted by col: pairs whose sizes allow a link, with the number of columns they share."""
     found = [np.zeros((4, 0), np.int64)]
     for gap in range(1, FEW):
         same = block[0, gap:] == block[0, :-gap]
@@ -164,7 +175,7 @@ def _outer(block: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _product(entries: DataFrame, percent: int) -> DataFrame:
-    """Blocks of columns, multiplied: rows (a, b, na, nb, met) for pairs, and (a, na, col) for the entries of columns with more than FEW rows."""
+    """Blocks of columns, multiplied: rows (a, b, na, nb, met) for pairs, and (a, na, met, col), met being the place, for the entries of columns with more than FEW rows."""
     names = ["a", "b", "na", "nb", "met", "col"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +183,9 @@ def _product(entries: DataFrame, percent: int) -> DataFrame:
 
         def crowd(x: np.ndarray) -> pa.RecordBatch:
             none = pa.nulls(x.shape[1], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x[1]), none, pa.array(x[2]), none, none, pa.array(x[0])], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x[1]), none, pa.array(x[2]), none, pa.array(x[3]), pa.array(x[0])], names=names)
 
-        rest, over = np.zeros((3, 0), np.int64), None
+        rest, over = np.zeros((4, 0), np.int64), None
         for batch in chain(batches, [None]):
             if batch is not None:
                 late, *new = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -207,10 +218,10 @@ def _product(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, component) of the rows (row, size, text), all sets different, that are linked to others."""
+    """(node, component) of the rows (row, size, s0, ..., text), all sets different, that are linked to others."""
     last = rows.sparkSession.sparkContext.broadcast(_frequent(rows, shingle))
     made = cut(_product(_entries(rows, last, shingle, percent), percent))
-    crowd = made.where("b is null").select("col", F.col("a").alias("row"))
+    crowd = made.where("b is null").select("col", F.col("a").alias("row"), F.col("met").alias("pos"))
     crowded = cut(crowd.groupBy("row").agg(F.count("*").alias("k")))
     met = made.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     of = lambda x: crowded.select(F.col("row").alias(x), F.col("k").alias(f"k{x}"))
@@ -222,10 +233,14 @@ def links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     # Whole rows are compared for each row's likeliest pair first, then only across the components that these leave.
     likely = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b"))
 
-    def sets(nodes: DataFrame) -> DataFrame:
-        """The whole rows of these numbers (row)."""
+    def whole(nodes: DataFrame, *columns: str) -> DataFrame:
+        """These columns of the rows with these numbers (row)."""
         nodes = cut(nodes.distinct())
-        return join_sized(rows.select("row", "size", "text"), nodes, ["row"], "left_semi", nodes.count(), FETCH_ROWS)
+        return join_sized(rows.select("row", *columns), nodes, ["row"], "left_semi", nodes.count(), FETCH_ROWS)
+
+    def alike(left: str, right: str) -> Column:
+        sizes = F.least(f"{left}.size", f"{right}.size") * 100 >= F.greatest(f"{left}.size", f"{right}.size") * percent
+        return sizes & _may_be_alike(left, right, percent / 100)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -248,36 +263,26 @@ def links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        size = lambda x: rows.select(F.col("row").alias(x), F.col("size").alias(f"n{x}"))
-        pairs = pairs.join(size("a"), "a").join(size("b"), "b")
-        pairs = cut(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
-        every = sets(pairs.select(F.explode(F.array("a", "b")).alias("row")))
+        # Sizes and sketches, of some hundred bytes a row, rule out most pairs; only texts of the others are shuffled.
+        pairs = cut(pairs.select("a", "b"))
+        ends = lambda: pairs.select(F.explode(F.array("a", "b")).alias("row"))
+        marks = whole(ends(), *MARKS)
+        met = pairs.join(marks.alias("l"), F.col("a") == F.col("l.row")).join(marks.alias("r"), F.col("b") == F.col("r.row"))
+        pairs = cut(met.where(alike("l", "r")).select("a", "b"))
+        every = whole(ends(), "text")
         side = lambda x: every.select(F.col("row").alias(x), F.col("text").alias(f"t{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
-    marks = ["size", *[f"s{k}" for k in range(SKETCH)]]
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-
-        for batch in batches:
-            row, found = _rows(batch, shingle)
-            out = np.zeros((SKETCH + 1, len(row)), np.int64)
-            for k, x in enumerate(found):
-                out[0, k] = len(x)
-                out[1:, k] = np.packbits((np.bincount(x & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(row), *map(pa.array, out)], names=["node", *marks])
-
     def sketched(placed: DataFrame) -> DataFrame:
-        some = sets(placed.select(F.col("node").alias("row")))
-        return placed.join(some.select("row", "text").mapInArrow(sketch, ", ".join(f"{x} long" for x in ["node", *marks])), "node")
+        return placed.join(whole(placed.select(F.col("node").alias("row")), *MARKS).withColumnRenamed("row", "node"), "node")
 
     def near(left: str, right: str) -> Column:
-        sizes = F.least(f"{left}.size", f"{right}.size") * 100 >= F.greatest(f"{left}.size", f"{right}.size") * percent
-        return sizes & _may_be_alike(left, right, percent / 100)
+        # The first column that two rows share and what follows it must hold all that they share; so a pair seldom comes once for each column.
+        rest = F.least(*[F.col(f"{x}.size") - F.col(f"{x}.pos") for x in (left, right)])
+        return (rest * (100 + percent) >= (F.col(f"{left}.size") + F.col(f"{right}.size")) * percent) & alike(left, right)
 
-    buckets = crowd.select(F.col("col").alias("key"), F.col("row").alias("node"))
+    buckets = crowd.select(F.col("col").alias("key"), F.col("row").alias("node"), "pos")
     found = bucket_components(buckets, verify, where=near, attach=sketched, counted=True, pairs=likely)
     of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"{x}c"))
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
@@ -296,7 +301,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     every = matrix(docs, shingle)
     sets = cut(every.where("size > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("n")))
     copies = cut(every.where("size > 0").join(sets.where("n > 1").select("k1", "k2", "node"), ["k1", "k2"]).where("row <> node").select("row"))
-    rows = join_sized(every.where("size > 0").select("row", "size", "text"), copies, ["row"], "left_anti", copies.count(), FETCH_ROWS)
+    rows = join_sized(every.where("size > 0").select("row", *MARKS, "text"), copies, ["row"], "left_anti", copies.count(), FETCH_ROWS)
     part = links(rows, shingle, percent)
     linked = sets.join(part, "node")
     least = cut(linked.groupBy("component").agg(F.min("first").alias("component_id")))
