@@ -45,3 +45,22 @@ def test_fingerprints_bring_candidates(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(near, "bands", lambda hashes: near.np.array([int(hashes.sum(dtype=near.np.uint64)) % 2**62], near.np.int64))  # no two sets have it in common
     assert sorted(r.doc_id for r in near.keep_one(docs).collect()) == [1, 3, 4]
+
+
+def test_bucket_rows_are_not_broadcast(spark, monkeypatch):
+    """Each fingerprint has some 50 bucket rows, which Spark sizes as one: their join with the counts is shuffled, whatever it takes them for."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import shared, simhash
+
+    plans, cut = [], shared.cut
+
+    def keep(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(shared, "cut", keep)
+    fps = spark.range(3000).select(F.xxhash64("id").alias("fp")).distinct()
+    simhash.linked(fps, 4)
+    assert "MapInPandas" in plans[0] and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]

@@ -86,6 +86,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return [n if n.lower() not in have else n + "_" * (longest + 1) for n in names]
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side that no join broadcasts: Spark sizes what Python or an explode makes of a small table by that table's rows, however many come of each."""
+    return df.hint("merge")
+
+
 def join_sized(df: DataFrame, side: DataFrame, on: list[str] | Column, how: str, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side of a known number of rows: broadcast while it is small, else shuffled, where AQE splits hot keys."""
     return df.join(F.broadcast(side) if rows <= most else side, on, how)
@@ -219,7 +224,7 @@ def bucket_components(
     change the components, so nothing is lost and no bucket is capped.
     """
     if not counted:
-        rows = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+        rows = cut(shuffled(rows).join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     ends = lambda x: x.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     if pairs is None:
         some = rows.where(F.col("n") <= hot).drop("n")
