@@ -112,3 +112,18 @@ def test_cells_are_split(spark):
     want = {(i, int(j)) for i in some for j in np.argsort(-(u @ u[i]), kind="stable")[:10]}
     assert len(hits & want) >= 0.9 * len(want)
     assert documents.vectors(spark, SF).columns == ["id", "embedding"]
+
+
+def test_a_task_gives_a_querys_best_candidates_only(spark, monkeypatch):
+    """However many cells a task reads, a query gets k x REFINE candidates from it, not so many from each cell."""
+    monkeypatch.setattr(ann, "REFINE", 4)
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(1200, 8)))], "id long, embedding array<double>").repartition(2)
+    path = new_folder(spark, "test")
+    ann.build(v, path, ann.train(v, cells=40))
+    frame, given = type(v), []
+    run = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, *a, **b: given.append(run(self, f, schema, *a, **b)) or given[-1])
+    queries = v.where("id < 20").selectExpr("id as query_id", "embedding as vector")
+    assert ann.search(queries, v, path, 1, probes=40).count() == 20
+    assert given[-1].count() <= 20 * 4 * given[-1].rdd.getNumPartitions() < 20 * 4 * 30

@@ -199,15 +199,29 @@ def search(queries: DataFrame, vectors: DataFrame, path: str, k: int = 10, probe
 
             ids, base, table, wants = shared.value
             parts = np.arange(table.shape[1])
+            held: dict[int, list] = {}  # query: vectors' ids and scores, some batches of them, and how many
+
+            def best(i: int) -> tuple[np.ndarray, np.ndarray]:
+                own, score = (np.concatenate(x) for x in zip(*held[i][0], strict=True))
+                at = np.lexsort((own, -score))[:keep]
+                return own[at], score[at]
+
             for batch in batches:
                 own, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
                 codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(own), -1)
                 for c in np.unique(cell):
                     at = np.flatnonzero(cell == c)
+                    mine, code = own[at], codes[at]
                     for i in wants.get(int(c), ()):
-                        score = base[i, c] + table[i][parts, codes[at]].sum(1)
-                        best = np.argpartition(-score, keep - 1)[:keep] if len(score) > keep else np.arange(len(score))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(own[at[best]]), pa.array(score[best].astype(np.float64))], names=["query_id", "id", "near"])
+                        more = held.setdefault(int(i), [[], 0])
+                        more[0].append((mine, base[i, c] + table[i][parts, code].sum(1)))
+                        more[1] += len(mine)
+                        if more[1] > 4 * keep:
+                            more[0] = [best(int(i))]
+                            more[1] = len(more[0][0][0])
+            for i in held:
+                found, score = best(i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[i])), pa.array(found), pa.array(score.astype(np.float64))], names=["query_id", "id", "near"])
 
         read = spark.read.schema("id long, code binary, cell int").parquet(f"{path}/codes").where(F.col("cell").isin(list(wants)))
         found = read.select("id", "code", "cell").mapInArrow(rank, "query_id long, id long, near double")
